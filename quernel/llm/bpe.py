@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ from .common import slices
 #: The split pattern of byte-level BPE vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens kept by a worker with their ids: two generations of so many at most, none over LONG bytes.
-CACHE, LONG = 200_000, 64
+CACHE, LONG = 400_000, 64
+SHOWN, PACKED = operator.itemgetter(0), operator.itemgetter(1)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -144,10 +146,13 @@ class Bpe:
             if k % 2:
                 i = self.special[part]
                 found.append((str(i), i.to_bytes(4, "little")))
-            else:
-                for word in self.split.findall(part):
-                    found.append(self.young.get(word) or self.piece(word))
-        return ",".join([x[0] for x in found]), b"".join([x[1] for x in found])
+                continue
+            words = self.split.findall(part)
+            got = list(map(self.young.get, words))
+            if None in got:
+                got = [x or self.young.get(w) or self.piece(w) for x, w in zip(got, words, strict=True)]
+            found += got
+        return ",".join(map(SHOWN, found)), b"".join(map(PACKED, found))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
