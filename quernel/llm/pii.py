@@ -52,7 +52,7 @@ KNOWN = {
 }
 CUES = r"e-?mail|contact|phone|tel|mobile|call|fax|card|visa|mastercard|address|addr|\bip\b|host|\bname|\bmr|\bdr|ssn|social security|iban|account|konto|kontakt|correo|courriel"
 DOUBTS = r"version|license|licence|isbn|issn|order|build|release|sha|serial|\bv\.?$|#$"
-CONTEXT = 48
+CONTEXT, CHUNK = 48, 1024
 THRESHOLD, ROUNDS, STEPS = 0.5, 60, 400
 
 
@@ -80,17 +80,25 @@ def _valid(name: str):
     }.get(name, lambda s: F.lit(True))
 
 
-def _voted(name: str, kind: int, text: Column):
-    """A candidate with its votes: 1 for, 0 against, 2 none."""
+def _voted(name: str, kind: int, chunks: Column):
+    """A candidate with its votes: 1 for, 0 against, 2 none. The text comes in chunks, so that looking around a span
+    doesn't walk the text from its beginning."""
+
+    def piece(start: Column, length: Column) -> Column:
+        k = F.floor(start / CHUNK).cast("int")
+        near = F.concat(F.coalesce(F.get(chunks, k), F.lit("")), F.coalesce(F.get(chunks, k + 1), F.lit("")))
+        return F.substring(near, (start - k * CHUNK + 1).cast("int"), length.cast("int"))
 
     def of(s: Column) -> Column:
-        long = s["start"] > CONTEXT
-        before = F.lower(F.substring(text, F.when(long, s["start"] - CONTEXT + 1).otherwise(1).cast("int"), F.when(long, CONTEXT).otherwise(s["start"]).cast("int")))
-        around = F.concat(F.substring(text, s["start"].cast("int"), F.when(s["start"] > 0, 1).otherwise(0)), F.substring(text, (s["end"] + 1).cast("int"), F.lit(1)))
-        votes = [F.when(s["match"].rlike(FORMS[name]), 1).otherwise(0), F.when(s["match"].rlike(KNOWN[name]), 1).otherwise(2), F.when(before.rlike(DOUBTS), 0).when(before.rlike(CUES), 1).otherwise(2), F.when(around.rlike(r"[\p{L}\p{N}_]"), 0).otherwise(1)]
+        first = F.greatest(s["start"] - CONTEXT, F.lit(0))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), piece(first, s["start"] - first).alias("before"), piece(s["end"], F.lit(1)).alias("after"))
+
+    def vote(s: Column) -> Column:
+        cue, letter = F.lower(s["before"]), r"[\p{L}\p{N}_]"
+        votes = [F.when(s["match"].rlike(FORMS[name]), 1).otherwise(0), F.when(s["match"].rlike(KNOWN[name]), 1).otherwise(2), F.when(cue.rlike(DOUBTS), 0).when(cue.rlike(CUES), 1).otherwise(2), F.when(s["before"].rlike(letter + "$") | s["after"].rlike(letter), 0).otherwise(1)]
         return F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.lit(name).alias("name"), F.array(*[v.cast("int") for v in votes]).alias("votes"))
 
-    return of
+    return of, vote
 
 
 CANDIDATE = "array<struct<start:bigint,kind:int,end:bigint,name:string,votes:array<int>>>"
@@ -103,7 +111,14 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
         raise ValueError(f"the input already has {sorted(clash)}")
     df = spans.matches(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))), "_text", {f"_{n}": (p, 0) for n, p in KINDS.items()})
     df = df.withColumns({f"_{n}": F.filter(f"_{n}", _valid(n)) for n in BASE})
-    parts = [F.when(F.size(f"_{n}") > 0, F.transform(f"_{n}", _voted(n, k, F.col("_text")))).otherwise(F.array().cast(CANDIDATE)).cast(CANDIDATE) for k, n in enumerate(KINDS)]
+    some = F.lit(False)
+    for n in KINDS:
+        some = some | (F.size(f"_{n}") > 0)
+    df = df.withColumn("_chunks", F.when(some, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    parts = []
+    for k, n in enumerate(KINDS):
+        of, vote = _voted(n, k, F.col("_chunks"))
+        parts.append(F.when(F.size(f"_{n}") > 0, F.transform(F.transform(f"_{n}", of), vote)).otherwise(F.array().cast(CANDIDATE)).cast(CANDIDATE))
     return df.withColumn("candidates", F.array_sort(F.concat(*parts))).select(*had, "candidates")
 
 

@@ -20,9 +20,11 @@ def _total(steps: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, s: a + s["gap"] + s["size"])
 
 
-def _step(gaps: Column, values: Column | None):
-    """What a match needs for its place: the text before it since the last match, its own length, and its value."""
-    return lambda x, i: F.struct(gaps[i].alias("gap"), F.length(x).cast("bigint").alias("size"), x.alias("match"), (x if values is None else values[i]).alias("value"))
+def _steps(found: Column, gaps: Column, values: Column | None) -> Column:
+    """What each match needs for its place: the characters between it and the last match, its own, and its value. The
+    arrays are arguments of zip_with, not looked up by index in a lambda: there they might be computed once per match."""
+    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda x, g: F.struct(g.alias("gap"), F.length(x).cast("bigint").alias("size"), x.alias("match")))
+    return F.zip_with(pairs, found if values is None else values, lambda s, v: s.withField("value", v))
 
 
 def _sums(steps: Column) -> Column:
@@ -58,7 +60,7 @@ def matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, int]]) -> D
     steps = {}
     for k, n in enumerate(names):
         m, gaps = F.col(f"_m{k}"), F.col(f"_l{k}")
-        steps[f"_s{k}"] = F.when(F.size(m) > 0, F.transform(m, _step(gaps, F.col(f"_g{k}") if patterns[n][1] else None)))
+        steps[f"_s{k}"] = F.when(F.size(m) > 0, _steps(m, gaps, F.col(f"_g{k}") if patterns[n][1] else None))
     df = df.withColumns(steps)
     df = df.withColumns({f"_t{k}": F.when(F.size(f"_m{k}") > 0, _sums(F.col(f"_s{k}"))) for k in range(len(names))})
     df = df.withColumns({f"_w{k}": F.when(F.size(f"_m{k}") > 0, _places(F.col(f"_s{k}"), F.col(f"_t{k}"))) for k in range(len(names))})
