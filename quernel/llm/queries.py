@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup, pii, secrets, topk
-from .common import table
+from . import bpe, decontaminate, neardup, pii, secrets, tokencounts, topk, warc
+from .common import scratch, table
 
 
 def tokenizer_path() -> str:
@@ -26,6 +26,17 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizer versions come in as a batch each; the first is delivered twice, which changes nothing."""
+    docs, rollup = table(spark, sf_dir, "documents"), tokencounts.Rollup(spark, scratch(spark, "token-counts"))
+    for name in tokencounts.TOKENIZERS:
+        rollup.commit(f"load-{name}", tokencounts.inserts(tokencounts.counted(docs, name)))
+    first = next(iter(tokencounts.TOKENIZERS))
+    rollup.commit(f"load-{first}", tokencounts.inserts(tokencounts.counted(docs, first)))
+    rollup.compact()
+    return rollup.totals()
+
+
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
@@ -34,6 +45,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -47,8 +62,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_secrets": op2_secrets,
+    "op3_token_counts": op3_token_counts,
     "op4_neardup": op4_neardup,
     "op5_pii": op5_pii,
+    "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
 }
@@ -67,6 +84,22 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 20
+""",
+    "op3_token_counts": r"""
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM (
+  SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents
+  UNION ALL
+  SELECT source, lang, 'pieces-2' AS tokenizer, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]')) AS n FROM documents
+) GROUP BY ALL
+""",
+    "op6_warc": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS digest, coalesce(html, '') AS payload FROM pages
+), l AS (SELECT payload, max(page_id) AS lead FROM p WHERE bytes >= 1000 GROUP BY payload)
+SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+  CASE WHEN lead IS NOT NULL AND page_id IS DISTINCT FROM lead THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN lead IS NOT NULL AND page_id IS DISTINCT FROM lead THEN lead END AS refers_to
+FROM p LEFT JOIN l USING (payload)
 """,
     "op7_decontaminate": r"""
 WITH d AS (
