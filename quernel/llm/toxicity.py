@@ -38,7 +38,9 @@ BEGINNINGS, CANDIDATES, LEXICON = (4, 5, 6, 7), 4000, 240
 #: A term asks for so many different words of the text with its stem.
 LEVELS = (1, 2, 4)
 #: A term enters the lexicon if chance would bring less than about one in so many terms as far from the base rate.
-TRIALS = 10_000
+TRIALS = 1_000_000
+#: Least share of toxic rows among those that have a term of the lexicon.
+PURE = 0.6
 #: How far a label shifts its row's posterior: log odds.
 ANCHOR = 3.0
 WORDS_KEPT = 300_000
@@ -132,7 +134,7 @@ def lexicon(rows: DataFrame) -> dict[str, int]:
     # of the many terms to the logarithm of their number, give or take a little
     base, n_term = yes / (yes + no), F.col("toxic") + F.col("other")
     part = lambda k, p: F.when(k > 0, k * F.log(k / (n_term * p))).otherwise(0.0)
-    found = _counts(rows).where((F.col("toxic") >= 2) & (F.col("toxic") > 3 * n_term * base))
+    found = _counts(rows).where((F.col("toxic") >= 2) & (F.col("toxic") > PURE * n_term))
     found = found.withColumn("rank", part(F.col("toxic"), base) + part(F.col("other"), max(1 - base, 1e-9)))
     top = found.orderBy(F.desc("rank"), F.length("term"), "term").limit(CANDIDATES).collect()
     least = np.log(TRIALS)
