@@ -1,0 +1 @@
+"""Behavioural analytics on PySpark: features, clustering, evaluation, exploration."""
