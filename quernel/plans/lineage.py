@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of applications of this process.
+_OWN: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where it is unset (tests in local mode) a folder of this machine is set."""
+    """The session's spark.checkpoint.dir. Only where it is unset (tests in local mode) a folder of this machine is taken."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quernel-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    if found:
+        return found.rstrip("/")
+    at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if at.isEmpty():
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quernel-"))
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return at.get().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in a folder of this application that goes when a local driver ends."""
+    own = f"{shared_dir(spark)}/quernel-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        if "://" not in own or own.startswith("file:"):
+            atexit.register(shutil.rmtree, own.removeprefix("file://"), ignore_errors=True)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
