@@ -31,13 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.operators.components import components
+
 from .common import as_bytes, slices, stored
-from .components import components
 
 #: Bits of a minimum, places of a chunk, and the chance that a link at the very threshold stays outside the distance.
 BITS, CHUNK, MISS = 16, 4, 1e-7
 #: Members of a block of one key; least and most members of a block of a family, and bytes of its sets.
-KEY_BLOCK, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 1024, 128, 4096, 16 << 20
+KEY_BLOCK, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 1024, 128, 1024, 16 << 20
 WORDS_KEPT = 300_000
 
 
@@ -207,7 +208,7 @@ def _similar(num: int, den: int):
         both = np.zeros((len(sets), len(sets)), np.float32)
         order = np.argsort(column, kind="stable")
         rows, column = rows[order], column[order]
-        width = max(1, (64 << 20) // (4 * len(sets)))
+        width = max(1, (32 << 20) // (4 * len(sets)))
         for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             a, b = np.searchsorted(column, (low, low + width))
             part = np.zeros((len(sets), min(width, int(column[b - 1]) - low + 1) if b > a else 1), np.float32)
