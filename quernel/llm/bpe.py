@@ -15,7 +15,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,7 @@ from .common import slices
 #: The split pattern of byte-level BPE vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens kept by a worker with their ids: two generations of so many at most, none over LONG bytes.
-CACHE, LONG = 400_000, 64
-SHOWN, PACKED = operator.itemgetter(0), operator.itemgetter(1)
+CACHE, LONG = 300_000, 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -89,8 +87,9 @@ class Bpe:
         self.split = regex.compile(SPLIT)
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.young: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.shown = [b"%d" % i for i in range(len(self.bytes_of))]
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -128,31 +127,33 @@ class Bpe:
                 put(h, found[0] << bits | h if found else none)
         return [x for x in ids if x >= 0]
 
-    def piece(self, word: str) -> tuple[str, bytes]:
-        """A pre-token's ids, as decimal text and as little-endian 32-bit integers."""
+    def piece(self, word: str) -> bytes:
+        """A pre-token's ids as little-endian 32-bit integers."""
         if (got := self.old.get(word)) is None:
-            ids = self.merge(word.encode())
-            got = (",".join(map(str, ids)), np.array(ids, "<i4").tobytes())
+            got = np.array(self.merge(word.encode()), "<i4").tobytes()
         if len(word) <= LONG:
             if len(self.young) >= CACHE:
                 self.old, self.young = self.young, {}
             self.young[word] = got
         return got
 
-    def encode(self, text: str) -> tuple[str, bytes]:
-        """The whole text's ids, in both forms."""
+    def encode(self, text: str) -> bytes:
+        """The whole text's ids as little-endian 32-bit integers."""
         found = []
         for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
             if k % 2:
-                i = self.special[part]
-                found.append((str(i), i.to_bytes(4, "little")))
+                found.append(self.special[part].to_bytes(4, "little"))
                 continue
             words = self.split.findall(part)
             got = list(map(self.young.get, words))
             if None in got:
                 got = [x or self.young.get(w) or self.piece(w) for x, w in zip(got, words, strict=True)]
             found += got
-        return ",".join(map(SHOWN, found)), b"".join(map(PACKED, found))
+        return b"".join(found)
+
+    def rest(self) -> None:
+        """Between tasks a worker keeps half of what it remembers, as other work may need the memory."""
+        self.old = {}
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -179,10 +180,11 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         bpe = loaded(path)
         for whole in batches:
             for batch in slices(whole, text):
-                found = [np.frombuffer(bpe.encode(x or "")[1], "<i4") for x in batch.column(text).to_pylist()]
+                found = [np.frombuffer(bpe.encode(x or ""), "<i4") for x in batch.column(text).to_pylist()]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, "<i4"), *found])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[*batch.schema.names, ids])
+        bpe.rest()
 
     return df.mapInArrow(run, schema)
 
@@ -214,12 +216,12 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             for batch in slices(whole, text):
                 n, first, second = [], [], []
                 for x in batch.column(text).to_pylist():
-                    shown, packed = bpe.encode(x or "")
-                    n.append(len(packed) // 4)
-                    first.append(sha(shown.encode()))
-                    back = bpe.decode(np.frombuffer(packed, "<i4").tolist())
-                    second.append(sha(back.decode("utf-8", "replace").encode()))
+                    ids = np.frombuffer(bpe.encode(x or ""), "<i4").tolist()
+                    n.append(len(ids))
+                    first.append(sha(b",".join(map(bpe.shown.__getitem__, ids))))
+                    second.append(sha(bpe.decode(ids).decode("utf-8", "replace").encode()))
                 columns = [batch.column(c) for c in kept] + [pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        bpe.rest()
 
     return df.mapInArrow(run, schema)
