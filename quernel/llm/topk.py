@@ -147,7 +147,7 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
         name, tree = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                block, shard = batch.column("block")[r].as_py(), batch.column("shard")[r].as_py()
+                block, shard = batch.column("block")[r].as_py(), (batch.column("d")[r].as_py(), batch.column("shard")[r].as_py())
                 if shard != name:
                     name, tree = shard, KdTree.unpack(batch.column("tree")[r].as_py())
                 ids = np.frombuffer(batch.column("ids")[r].as_py(), "<i8")
@@ -172,7 +172,7 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
                     known.popitem(last=False)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
-    return pairs.select("block", "shard", "ids", "vectors", "kth", "tree").mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.select("block", "d", "shard", "ids", "vectors", "kth", "tree").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
