@@ -2,54 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-
-#: ASCII upper to lower case on bytes; other bytes stay.
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table as Spark reads it; the path may lie in any store that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none (tests in local mode) a folder of this machine is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quernel-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written as Parquet in the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+from quernel.plans.lineage import remove, scratch, shared_dir, stored
+from quernel.sources.tables import table
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path below the shared folder through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["as_bytes", "remove", "scratch", "shared_dir", "slices", "stored", "table"]
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
