@@ -4,11 +4,24 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 from quernel.plans.lineage import remove, scratch, shared_dir, stored
 from quernel.sources.tables import table
 
-__all__ = ["as_bytes", "remove", "scratch", "shared_dir", "slices", "stored", "table"]
+__all__ = ["as_bytes", "in_small_batches", "remove", "scratch", "shared_dir", "slices", "stored", "table"]
+
+
+#: Rows of an Arrow batch. Texts are long: with Spark's 10,000 rows a batch takes tens of megabytes on either side.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The frame itself; its session hands texts to Python in batches of BATCH_ROWS, unless it was set otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, slices
+from .common import as_bytes, in_small_batches, slices
 
 WINDOW, BLOCK = 13, 2
 #: Benchmark text that one pass holds.
@@ -110,7 +110,7 @@ def _pass(df: DataFrame, items: list, text: str, window: int, hits: str, found:
                 at = {hits: pa.array(spans, pa.list_(pa.int64())), found: pa.array(names, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([at.get(c, batch.column(c)) for c in kept], names=kept)
 
-    return df.mapInArrow(run, schema)
+    return in_small_batches(df).mapInArrow(run, schema)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES, keep_text: bool = True) -> DataFrame:
@@ -139,4 +139,4 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                 more = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 and 20 * h >= m for h, m in zip(hit, n, strict=True)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], names=schema.names)
 
-    return df.mapInArrow(finish, schema)
+    return in_small_batches(df).mapInArrow(finish, schema)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quernel.operators.components import components
 
-from .common import as_bytes, slices, stored
+from .common import as_bytes, in_small_batches, slices, stored
 
 #: Bits of a minimum, places of a chunk, and the chance that a link at the very threshold stays outside the distance.
 BITS, CHUNK, MISS = 16, 4, 1e-7
@@ -179,7 +179,7 @@ def classes(df: DataFrame, key: str, text: str, shingle: int, hashes: int) -> Da
                 sigs = [signature(s, hashes).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n_shingles", "digest", "sig"])
 
-    return df.select(key, text).mapInArrow(run, "id long, n_shingles long, digest binary, sig binary")
+    return in_small_batches(df).select(key, text).mapInArrow(run, "id long, n_shingles long, digest binary, sig binary")
 
 
 def _within(hashes: int):
@@ -268,6 +268,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     lead = named.groupBy("label").agg(F.min("id").alias("component_id"))
     named = named.join(lead, "label").select("digest", "component_id")
     done = one.select("digest", "id").join(named, "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
+    # a table of its own, so that nothing but the join below rests on its dealing: a class with very many copies can be split
+    done = stored(done, "neardup-done")
     alone = rows.where("id is null or digest is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = rows.where("id is not null and digest is not null").join(done, "digest").select("id", "n_shingles", "component_id").unionByName(alone)
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

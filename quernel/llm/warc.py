@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_small_batches, stored
 
 #: Payload bytes of an archive, and of a piece that the inflater takes at a time.
 ARCHIVE_BYTES, PIECE = 8 << 20, 1 << 16
@@ -149,7 +149,7 @@ def monolithic(classed: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFr
         if z is not None:
             yield closed()
 
-    return classed.mapInArrow(run, "name string, content binary")
+    return in_small_batches(classed).mapInArrow(run, "name string, content binary")
 
 
 def normalise(archives: DataFrame) -> DataFrame:
