@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from quernel.plans.lineage import remove, scratch, shared_dir, stored
 from quernel.sources.tables import table
 
-__all__ = ["as_bytes", "in_small_batches", "remove", "scratch", "shared_dir", "slices", "stored", "table"]
+__all__ = ["as_bytes", "giving_way", "in_small_batches", "remove", "scratch", "shared_dir", "slices", "stored", "table"]
 
 
 #: Rows of an Arrow batch. Texts are long: with Spark's 10,000 rows a batch takes tens of megabytes on either side.
@@ -24,6 +24,15 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def giving_way(df: DataFrame, names: list[str], *needed: str) -> DataFrame:
+    """The frame without columns that have the names of an operator's outputs: those give way to the outputs. A column that
+    the operator needs can't."""
+    taken = {n.lower() for n in names}
+    if clash := [c for c in needed if c.lower() in taken]:
+        raise ValueError(f"{clash} is needed and can't be an output's name too; give other output names")
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; a null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
