@@ -11,7 +11,7 @@ own share of the items, and the positions hit are united. No item is left out at
 
 Edge cases. A null or empty text has no words: it is never hit. Null benchmark texts give no window, and an item with a
 null id counts for hits but isn't listed. Repeated documents give repeated rows; repeated items count once by id. An
-empty benchmark hits nothing. Extra columns pass through; a clash with an output name is an error that says so.
+empty benchmark hits nothing. Extra columns pass through; one with an output's name gives way to it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, in_small_batches, slices
+from .common import as_bytes, giving_way, in_small_batches, slices
 
 WINDOW, BLOCK = 13, 2
 #: Benchmark text that one pass holds.
@@ -117,8 +117,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     """Adds to each row n_words, n_hit (words inside any occurrence), hit_spans (word intervals, flattened start and
     end), item_ids (sorted as strings), n_items, items_sha256 and contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     out = ["n_words", "n_hit", "hit_spans", "item_ids", "n_items", "items_sha256", "contaminated"]
-    if clash := set(out) & set(df.columns):
-        raise ValueError(f"the input already has {sorted(clash)}")
+    df = giving_way(df, out, text)
     bench = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body")).where("body is not null")
     total = bench.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     passes = max(1, -(-total // pattern_bytes))

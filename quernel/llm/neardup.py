@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernel.operators.components import components
 
@@ -279,5 +280,8 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     """The rows of one document of each group, the one with the smallest id; rows that repeat an id go down to one row,
     and rows without an id stay."""
     found = near_duplicates(df, key, text, shingle, num, den).where("kept").select(key).where(F.col(key).isNotNull()).distinct()
-    named = df.where(F.col(key).isNotNull()).join(found, key, "left_semi").dropDuplicates([key])
-    return named.unionByName(df.where(F.col(key).isNull()))
+    named = df.where(F.col(key).isNotNull()).join(found, key, "left_semi")
+    # of rows that repeat an id the least stays, whatever order they come in
+    order = F.struct(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)])
+    one = named.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("_row")).select("_row.*")
+    return one.unionByName(df.where(F.col(key).isNull()))

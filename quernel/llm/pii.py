@@ -10,7 +10,7 @@ further candidate is a span where the classifier gives at least THRESHOLD.
 
 Edge cases. A null text is the empty text; texts of any length are scanned whole; without candidates the classifier
 keeps its neutral weights; repeated rows count once each; an empty table gives an empty table; extra columns pass
-through, and a clash with an output name is an error.
+through, one with an output's name gives way to it.
 """
 
 from __future__ import annotations
@@ -106,20 +106,22 @@ CANDIDATE = "array<struct<start:bigint,kind:int,end:bigint,name:string,votes:arr
 
 def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds `candidates`: spans with their votes, in order."""
-    had = df.columns
-    if clash := {"candidates", "base", "found"} & set(had):
-        raise ValueError(f"the input already has {sorted(clash)}")
-    df = spans.matches(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))), "_text", {f"_{n}": (p, 0) for n, p in KINDS.items()})
+    return spans.unpacked(_candidates(spans.packed(df, text)), df.columns, ["candidates"])
+
+
+def _candidates(df: DataFrame) -> DataFrame:
+    """(row, text, candidates) of a packed frame."""
+    df = spans.matches(df, "text", {f"_{n}": (p, 0) for n, p in KINDS.items()})
     df = df.withColumns({f"_{n}": F.filter(f"_{n}", _valid(n)) for n in BASE})
     some = F.lit(False)
     for n in KINDS:
         some = some | (F.size(f"_{n}") > 0)
-    df = df.withColumn("_chunks", F.when(some, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    df = df.withColumn("_chunks", F.when(some, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
     parts = []
     for k, n in enumerate(KINDS):
         of, vote = _voted(n, k, F.col("_chunks"))
         parts.append(F.when(F.size(f"_{n}") > 0, F.transform(F.transform(f"_{n}", of), vote)).otherwise(F.array().cast(CANDIDATE)).cast(CANDIDATE))
-    return df.withColumn("candidates", F.array_sort(F.concat(*parts))).select(*had, "candidates")
+    return df.withColumn("candidates", F.array_sort(F.concat(*parts))).select("row", "text", "candidates")
 
 
 @dataclass
@@ -197,13 +199,15 @@ def classified(found: DataFrame, model: Model) -> DataFrame:
 def scan(df: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
     """Adds `base` and `found` (arrays of spans: start, kind, end, name); `found` holds the base ones too. Without a
     model, one is fitted on all rows first."""
-    found = candidates(df, text)
-    return classified(found, model or fit(vote_patterns(found)))
+    found = _candidates(spans.packed(df, text))
+    return spans.unpacked(classified(found, model or fit(vote_patterns(found))), df.columns, ["base", "found"])
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[PII]", model: Model | None = None) -> DataFrame:
     """The same columns and rows, with each span replaced by a mark."""
-    return scan(df, text, model).withColumn(text, spans.redacted(F.col(text), F.col("found"), mark)).select(*df.columns)
+    found = _candidates(spans.packed(df, text))
+    clean = F.when(F.col(f"row.`{text}`").isNotNull(), spans.redacted(F.col("text"), F.col("found"), mark))
+    return spans.unpacked(classified(found, model or fit(vote_patterns(found))), df.columns, [], {text: clean})
 
 
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,8 +4,8 @@ The statistics are computed where the texts are; only those of at most LABELLED
 grows the trees. Scoring is one pass over all documents without a shuffle.
 
 Edge cases. Null and empty texts have statistics of zero and are scored like any text. Texts of any length count whole.
-Repeated rows are scored each. Without labels the score is 0.5. Extra columns pass through in `scored`, and a clash with an
-output name is an error; an empty table gives an empty table.
+Repeated rows are scored each. Without labels the score is 0.5. Extra columns pass through in `scored`, one
+named like the score gives way to it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, in_small_batches, slices
+from .common import as_bytes, giving_way, in_small_batches, slices
 from .gbdt import Trees, train
 from .labelled import LABELLED, held_out, training
 
@@ -74,8 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
 def scored(df: DataFrame, model: Trees, text: str = "text", score: str = "score", keep_text: bool = True) -> DataFrame:
     """Adds the column `score`."""
-    if score in df.columns:
-        raise ValueError(f"the input already has {score}")
+    df = giving_way(df, [score], text)
     kept = [c for c in df.columns if keep_text or c != text]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(score, T.DoubleType())])
 

@@ -8,8 +8,8 @@ the last such window is a span, unless the allow list suppresses the candidate o
 allow list concerns these spans only; base ones stay.
 
 Edge cases. A null text is the empty text and has no spans; texts of any length are scanned whole; repeated rows give
-repeated results; an empty table gives an empty table; extra columns pass through (`redact`, `scan`), and a clash with
-an output name is an error.
+repeated results; an empty table gives an empty table; extra columns pass through (`redact`, `scan`), one with an
+output's name gives way to it.
 """
 
 from __future__ import annotations
@@ -71,12 +71,13 @@ def _hot_span(kind: int, name: str):
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds `base` and `found` (arrays of spans: start, kind, end, name); `found` holds the base ones too."""
-    if clash := {"base", "found"} & set(df.columns):
-        raise ValueError(f"the input already has {sorted(clash)}")
-    had = df.columns
-    df = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    return spans.unpacked(_scan(spans.packed(df, text)), df.columns, ["base", "found"])
+
+
+def _scan(df: DataFrame) -> DataFrame:
+    """(row, text, base, found) of a packed frame."""
     patterns = {"_assign": (ASSIGN, 2), "_access": (ACCESS, 0), "_hex": (HEX, 0)} | {f"_{n}": (p, 0) for n, (p, _) in CLASSES.items()}
-    df = spans.matches(df, "_text", patterns)
+    df = spans.matches(df, "text", patterns)
     kept = [F.transform(F.filter("_assign", lambda s: F.length(s["value"]) >= 8), lambda s: spans.span(s, 0, "assign")), F.transform(F.filter("_access", lambda s: s["end"] - s["start"] >= 16), lambda s: spans.span(s, 1, "access")), F.transform("_hex", lambda s: spans.span(s, 2, "hex"))]
     df = df.withColumn("base", F.array_sort(F.concat(*kept)))
 
@@ -92,13 +93,13 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         df = df.withColumn(f"_{n}", F.transform(f"_{n}", _windows(bound)))
         more.append(F.transform(F.filter(f"_{n}", lambda s: s["hot"]["first"] >= 0), _hot_span(3 + k, n)))
     df = df.withColumn("found", F.array_sort(F.concat("base", *[m.cast(spans.SPAN) for m in more])))
-    return df.select(*had, "base", "found")
+    return df.select("row", "text", "base", "found")
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same columns and rows, with each secret in the text replaced by a mark. A null text stays null."""
-    had = df.columns
-    return scan(df, text).withColumn(text, spans.redacted(F.col(text), F.col("found"), mark)).select(*had)
+    clean = F.when(F.col(f"row.`{text}`").isNotNull(), spans.redacted(F.col("text"), F.col("found"), mark))
+    return spans.unpacked(_scan(spans.packed(df, text)), df.columns, [], {text: clean})
 
 
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

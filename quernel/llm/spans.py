@@ -70,6 +70,17 @@ def matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, int]]) -> D
     return df.drop(*[f"_{a}{k}" for a in "mglstw" for k in range(len(names))])
 
 
+def packed(df: DataFrame, text: str) -> DataFrame:
+    """(row, text): the whole row as a struct, so that no column of it meets a name of the work, and the text, not null."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def unpacked(found: DataFrame, columns: list[str], outputs: list[str], instead: dict[str, Column] | None = None) -> DataFrame:
+    """The row's columns again, with outputs beside them; a column of an output's name gives way, one in `instead` is replaced."""
+    taken, instead = {n.lower() for n in outputs}, instead or {}
+    return found.select(*[instead.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns if c.lower() not in taken], *outputs)
+
+
 def span(s: Column, kind: int, name: str) -> Column:
     return F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.lit(name).alias("name"))
 

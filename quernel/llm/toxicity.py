@@ -13,7 +13,7 @@ CANDIDATES candidate terms. Scoring reads every text whole, in one pass without
 
 Edge cases. Null and empty texts have no words and are scored like any text without a voter. Repeated rows are scored each.
 Without labels there are no lexicon voters, and the score is one constant below one half. Extra columns pass through in
-`scored`, and a clash with an output name is an error; an empty table gives an empty table.
+`scored`, one named like the score gives way to it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_small_batches, slices
+from .common import giving_way, in_small_batches, slices
 from .labelled import LABELLED, held_out, training
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -198,8 +198,7 @@ def _learn(chosen: dict[str, int], votes: np.ndarray, y: np.ndarray) -> Model:
 
 def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score", keep_text: bool = True) -> DataFrame:
     """Adds the column `score`."""
-    if score in df.columns:
-        raise ValueError(f"the input already has {score}")
+    df = giving_way(df, [score], text)
     kept = [c for c in df.columns if keep_text or c != text]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(score, T.DoubleType())])
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
@@ -67,6 +68,21 @@ def test_statistics_of_odd_texts():
         assert quality.statistics(text).shape == (quality.N_FEATURES,) and np.isfinite(quality.statistics(text)).all()
 
 
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    text = table(spark, sf_dir, "documents").where("doc_id = 6").first().text
+    rows = [(1, text, "en", "s", 1), (None, text, None, None, None), (1, text, "en", "s", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, text + " token=abcdefgh1", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["score", "_score", "found", "base", "kept", "n_words", "hit_spans", "ids", "n_tokens", "row", "_text"]
+    more = docs.withColumns({n: F.lit(7) for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf_dir).count() == 0
+        out = stage(spark, more, sf_dir)
+        assert out.columns == more.columns if name != "tokens" else out.columns[:5] == docs.columns
+        got = out.collect()
+        assert {r["row"] for r in got} <= {7} and (name == "quality" or any(r.doc_id is None for r in got))
+
+
 def test_pipeline_stages(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = table(spark, sf_dir, "documents")
