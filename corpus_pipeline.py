@@ -12,6 +12,7 @@ stages unless the first or third rejects their text; empty tables give empty tab
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,32 +29,55 @@ QUALITY = 0.3
 ORACLE_SQL: str | None = None
 
 
+#: The columns of documents; all others ride along under names that nothing in a stage has.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def guarded(stage: Stage) -> Stage:
+    """A stage whose input's extra columns can have any names. Those that have the names of its outputs give way."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        extra = {c: f"__extra{i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        out = stage(spark, docs.withColumnsRenamed(extra), sf_dir)
+        gone = [new for old, new in extra.items() if old in out.columns]
+        return out.drop(*gone).withColumnsRenamed({new: old for old, new in extra.items() if new not in gone})
+
+    return run
+
+
+@guarded
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.scored(docs, model, score="_score").where(F.col("_score") >= QUALITY).drop("_score")
 
 
+@guarded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.deduplicated(docs)
 
 
+@guarded
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
+@guarded
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
+@guarded
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(docs, tokenizer_path()).drop("text")
     back = bpe.decode(encoded, tokenizer_path(), text="text")
     return back.withColumn("n_tokens", F.size("ids").cast("bigint")).select(*docs.columns, "n_tokens", "ids")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality", quality_filter),
     ("near-duplicates", near_duplicates),
     ("decontamination", decontamination),
