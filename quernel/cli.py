@@ -2,6 +2,7 @@
 
     python -m quernel.cli --alg-name kmeans-naive --dataset onlineretail --numK 4 --epsilon 1e-4 --data /path/of/tables
     python -m quernel.cli --alg-name dbscan --file points.csv --epsilon 0.3 --minpts 5 --out result
+    python -m quernel.cli time --file points.csv --repeats 10
     python -m quernel.cli nn-hist --file points.csv --numBuckets 16
     python -m quernel.cli neighbor-hist --file points.csv --epsilon 0.3
 """
@@ -20,7 +21,7 @@ from quernel.functions import stats
 from quernel.operators import dbscan, epsjoin, features, kmeans, plotdata, summary
 from quernel.sources import tables
 from quernel.sources.files import read_points
-from quernel.sources.sinks import write_clusters, write_csv, write_histogram
+from quernel.sources.sinks import write_clusters, write_csv, write_histogram, write_lines
 
 ALGORITHMS = ("kmeans-naive", "kmeans", "scalable-kmeans", "dbscan")
 DATASETS = ("onlineretail", "instacart", "multicatshop")
@@ -36,7 +37,7 @@ def timed(what: str) -> Iterator[None]:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("command", nargs="?", default="cluster", choices=("cluster", "nn-hist", "neighbor-hist"))
+    p.add_argument("command", nargs="?", default="cluster", choices=("cluster", "dbscan", "time", "nn-hist", "neighbor-hist"))
     p.add_argument("--alg-name", choices=ALGORITHMS, default="kmeans-naive")
     p.add_argument("--dataset", choices=DATASETS, default="onlineretail")
     p.add_argument("--data", help="folder of the tables, for --dataset")
@@ -49,6 +50,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--numBuckets", type=int, default=16)
     p.add_argument("--make-plot", choices=("true", "false"), default="false", help="write the frame behind the pair plot")
     p.add_argument("--elbow", action="store_true", help="write k and squared error for k from 2 to 10")
+    p.add_argument("--repeats", type=int, default=10, help="fits for each k of the command `time`")
+    p.add_argument("--debugOutput", help="folder for the frames between the steps of DBSCAN")
     p.add_argument("--out", help="folder for the results")
     return p
 
@@ -73,9 +76,9 @@ def load(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, list
 
 def cluster(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     points, names = load(spark, args)
-    if args.alg_name == "dbscan":
+    if args.alg_name == "dbscan" or args.command == "dbscan":
         params = dbscan.DbscanParams(args.epsilon, args.minpts, args.distanceMeasure, args.borderPointsAsNoise)
-        return dbscan.fit(points, names, params).labelled
+        return dbscan.fit(points, names, params, debug_path=args.debugOutput).labelled
     if args.alg_name == "kmeans-naive":
         model = kmeans.fit(points, names, args.numK, args.epsilon)
         kmeans.wssse(points, model).show()
@@ -88,6 +91,13 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("quernel").getOrCreate()
     points, names = load(spark, args)
+    if args.command == "time":
+        took = kmeans.timing(points, names, range(2, 11), args.repeats, args.epsilon, args.alg_name != "kmeans-naive")
+        for k, ms in took:
+            print(f"k = {k}: {ms} ms")
+        if args.out:
+            write_lines(spark.createDataFrame([(f"{k},{ms}",) for k, ms in took], "line string"), f"{args.out}/timing", "line")
+        return
     if args.command == "nn-hist":
         found = stats.histogram(epsjoin.nearest_distance(points, names, distance=args.distanceMeasure), "dist", args.numBuckets)
     elif args.command == "neighbor-hist":

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions.ranks import running_sum
 from quernel.plans.lineage import stored
+from quernel.sources.sinks import debug_dump
 
 from .components import components
 from .epsjoin import eps_join, eps_pairs
@@ -68,7 +69,8 @@ class DbscanModel:
         return new.select(key).join(found, new[key] == found["a"], "left").select(key, label.cast("int").alias("cluster"))
 
 
-def fit(points: DataFrame, features: list[str], params: DbscanParams, key: str = "id") -> DbscanModel:
+def fit(points: DataFrame, features: list[str], params: DbscanParams, key: str = "id", debug_path: str | None = None) -> DbscanModel:
+    """Labels every point. With `debug_path`, pairs, core points, and labels before numbering are written below it."""
     points = stored(points.select(key, *features).dropna(), "dbscan-points")
     pairs = stored(eps_pairs(points, features, params.eps, key, params.distance), "dbscan-pairs")
     core = stored(neighbour_counts(points, pairs, key).where(F.col("n") >= params.min_points).select(F.col(key).alias("id")), "dbscan-core")
@@ -78,6 +80,8 @@ def fit(points: DataFrame, features: list[str], params: DbscanParams, key: str =
     joined = components(links)
     label = core.join(joined, core["id"] == joined["node"], "left").select("id", F.coalesce("label", "id").alias("label"))
     label = stored(label, "dbscan-label")
+    for name, frame in (("pairs", pairs), ("core", core), ("core_labels", label)):
+        debug_dump(frame, debug_path, name)
     if not params.border_as_noise:
         border = to_core.join(core, to_core["b"] == core["id"], "left_anti").join(label, F.col("a") == label["id"]).groupBy(F.col("b").alias("id")).agg(F.min("label").alias("label"))
         label = label.unionByName(border)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from math import dist
+from time import perf_counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +85,18 @@ def elbow(points: DataFrame, features: list[str], ks: range, tol: float = 1e-4,
     return sums.select(F.inline("rows"))
 
 
+def timing(points: DataFrame, features: list[str], ks: range, repeats: int = 10, tol: float = 1e-4, library: bool = False) -> list[tuple[int, int]]:
+    """(k, mean milliseconds of a fit) for each k."""
+    points = stored(points.dropna(subset=features), "timing-points")
+    out = []
+    for k in ks:
+        start = perf_counter()
+        for _ in range(repeats):
+            library_fit(points, features, k, tol) if library else fit(points, features, k, tol)
+        out.append((k, int((perf_counter() - start) * 1000 / repeats)))
+    return out
+
+
 def library_fit(points: DataFrame, features: list[str], k: int, tol: float = 1e-4, mode: str = "k-means||", max_iter: int = 250, seed: int = 4):
     """The library's k-means (`random` or `k-means||` start): (model, assembled and labelled points)."""
     from pyspark.ml.clustering import KMeans

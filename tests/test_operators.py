@@ -239,4 +239,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert files.read_csv(spark, str(tmp_path / "o/clusters")).select("Cluster").distinct().count() == 2
     cli.main(["--alg-name", "kmeans-naive", "--file", str(tmp_path / "p.csv"), "--numK", "2"])
     cli.main(["nn-hist", "--file", str(tmp_path / "p.csv"), "--numBuckets", "4"])
+    cli.main(["time", "--file", str(tmp_path / "p.csv"), "--repeats", "1", "--epsilon", "1", "--out", str(tmp_path / "t")])
+    assert len(spark.read.text(str(tmp_path / "t/timing")).collect()) == 9
+    cli.main(["dbscan", "--file", str(tmp_path / "p.csv"), "--epsilon", "1", "--debugOutput", str(tmp_path / "d")])
+    assert spark.read.parquet(str(tmp_path / "d/pairs")).count() > 0
     assert "cluster" in capsys.readouterr().out
