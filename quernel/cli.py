@@ -68,7 +68,7 @@ def load(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, list
     elif args.dataset == "multicatshop":
         rfm = features.events_rfm(tables.shop_events(spark, args.data)).withColumnRenamed("user_id", "id")
     else:
-        lines = tables.basket_lines(spark, args.data)
+        lines = tables.basket_lines(spark, args.data, reordered=False)
         per_order = features.products_per_order(lines.where("eval_set = 'prior'"), lines.where("eval_set = 'train'"))
         rfm = features.basket_rfm(features.basket_typed(tables.basket_orders(spark, args.data)), per_order).withColumnRenamed("user_id", "id")
     return stats.std_scale(stats.log_scale(rfm, RFM), RFM), RFM

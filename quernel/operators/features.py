@@ -1,6 +1,6 @@
 """Per-customer features: recency, frequency and monetary value, for the three logical datasets.
 
-Each pipeline is one lazy plan. Recency and monetary value and the number of invoices come from one two-level group-by, whose
+Recency and monetary value and the number of invoices come from one two-level group-by, whose
 first level combines map-side, so that a customer with very many rows is many partial sums, not one task.
 """
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.stats import impute_mean, with_row
+from quernel.plans.lineage import stored
 
 DAY = 86400.0
 
@@ -39,11 +40,11 @@ def days_before(df: DataFrame, time: str, whole: bool = False) -> DataFrame:
 
 
 def retail_rfm(lines: DataFrame, whole: bool = False) -> DataFrame:
-    """customer_id, recency (days before the reference date), frequency (invoices), monetary. The reference date is taken from
-    the customers' last dates, so the lines are read once."""
+    """customer_id, recency (days before the reference date), frequency (invoices), monetary. The customers' sums are stored, and
+    the reference date is the last of their dates: left to one plan, the lines would be read and joined twice."""
     clean = retail_clean(lines)
     invoices = clean.groupBy("customer_id", "invoice").agg(F.max("invoice_date").alias("last"), F.sum("amount").alias("amount"))
-    people = invoices.groupBy("customer_id").agg(F.max("last").alias("last"), F.count("*").alias("frequency"), F.sum("amount").alias("monetary"))
+    people = stored(invoices.groupBy("customer_id").agg(F.max("last").alias("last"), F.count("*").alias("frequency"), F.sum("amount").alias("monetary")), "retail-people")
     return days_before(people, "last", whole).select("customer_id", F.col("days").alias("recency"), "frequency", F.round("monetary", 4).alias("monetary"))
 
 
@@ -57,7 +58,7 @@ def events_purchases(events: DataFrame, least_exclusive: float | None = 0.0) ->
 
 def events_rfm(events: DataFrame, whole: bool = False) -> DataFrame:
     bought = events_purchases(events, None if whole else 0.0)
-    people = bought.groupBy("user_id").agg(F.max("event_time").alias("last"), F.count("*").alias("frequency"), F.sum("price").alias("monetary"))
+    people = stored(bought.groupBy("user_id").agg(F.max("event_time").alias("last"), F.count("*").alias("frequency"), F.sum("price").alias("monetary")), "event-people")
     return days_before(people, "last", whole).select("user_id", F.col("days").alias("recency"), "frequency", F.round("monetary", 4).alias("monetary"))
 
 
@@ -80,13 +81,18 @@ def basket_monetary(orders: DataFrame, per_order: DataFrame, left: bool = False)
 
 
 def basket_recency(orders: DataFrame, digits: int | None = None) -> DataFrame:
-    """Mean gap between a user's orders, first orders having the mean gap of all."""
-    return impute_mean(orders, ["days_since_prior_order"], digits).groupBy("user_id").agg(F.round(F.avg("days_since_prior_order"), 6).alias("recency"))
+    """user_id, recency (mean gap between orders, first orders having the mean gap of all), frequency. Users' sums and counts
+    give the mean of all as well, so the orders are read once."""
+    gap = F.col("days_since_prior_order")
+    people = stored(orders.groupBy("user_id").agg(F.sum(gap).alias("gaps"), F.count(gap).alias("n_gaps"), F.count("*").alias("frequency")), "basket-people")
+    mean = F.sum("gaps") / F.nullif(F.sum("n_gaps"), F.lit(0))
+    found = with_row(people, people.agg((mean if digits is None else F.round(mean, digits)).alias("mean")))
+    filled = F.coalesce("gaps", F.lit(0.0)) + F.when(F.col("frequency") > F.col("n_gaps"), (F.col("frequency") - F.col("n_gaps")) * F.col("mean")).otherwise(0.0)
+    return found.select("user_id", F.round(filled / F.col("frequency"), 6).alias("recency"), "frequency")
 
 
 def basket_rfm(orders: DataFrame, per_order: DataFrame) -> DataFrame:
-    frequency = orders.groupBy("user_id").agg(F.count("*").alias("frequency"))
-    return basket_recency(orders).join(frequency, "user_id").join(basket_monetary(orders, per_order), "user_id")
+    return basket_recency(orders).join(basket_monetary(orders, per_order), "user_id")
 
 
 def peak_flags(orders: DataFrame) -> DataFrame:
@@ -106,8 +112,7 @@ def basket_six(orders: DataFrame, per_order: DataFrame) -> DataFrame:
 
 def basket_six_outer(orders: DataFrame, per_order: DataFrame) -> DataFrame:
     """The variant that keeps orders without lines, rounds imputed means, and aligns its parts by outer joins."""
-    frequency = orders.groupBy("user_id").agg(F.count("*").alias("frequency"))
-    parts = [basket_recency(orders, 0), frequency, basket_monetary(orders, per_order, left=True), basket_extra(orders, median=True)]
+    parts = [basket_recency(orders, 0), basket_monetary(orders, per_order, left=True), basket_extra(orders, median=True)]
     found = parts[0]
     for p in parts[1:]:
         found = found.join(p, "user_id", "full_outer")

@@ -220,7 +220,7 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _per_order(spark: SparkSession, d: str) -> DataFrame:
-    lines = tables.basket_lines(spark, d)
+    lines = tables.basket_lines(spark, d, reordered=False)
     return features.products_per_order(lines.where("eval_set = 'prior'"), lines.where("eval_set = 'train'"))
 
 
@@ -246,7 +246,7 @@ def basket_impute_rounded(spark, d):
 
 @query
 def basket_recency(spark, d):
-    return features.basket_recency(_orders(spark, d))
+    return features.basket_recency(_orders(spark, d)).select("user_id", "recency")
 
 
 @query
@@ -307,7 +307,7 @@ def semi_join_keys(spark, d):
 
 @query
 def order_has_basket(spark, d):
-    return eda.order_has_basket(tables.basket_orders(spark, d), tables.basket_lines(spark, d))
+    return eda.order_has_basket(tables.basket_orders(spark, d), tables.basket_lines(spark, d, reordered=False))
 
 
 @query
@@ -345,8 +345,8 @@ def null_percent(spark, d):
     return eda.null_percent(tables.basket_orders(spark, d), ["order_id", "user_id", "order_number", "days_since_prior_order"])
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return eda.with_dimensions(tables.basket_lines(spark, d), tables.products(spark, d))
+def _lines(spark: SparkSession, d: str, reordered: bool = True) -> DataFrame:
+    return eda.with_dimensions(tables.basket_lines(spark, d, reordered), tables.products(spark, d))
 
 
 def _timed(spark: SparkSession, d: str) -> DataFrame:
@@ -355,7 +355,7 @@ def _timed(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def line_product_dims(spark, d):
-    return _lines(spark, d).groupBy("aisle", "department").agg(F.count("*").alias("n"), F.count_distinct("product_id").alias("n_products"))
+    return _lines(spark, d, False).groupBy("aisle", "department").agg(F.count("*").alias("n"), F.count_distinct("product_id").alias("n_products"))
 
 
 @query
@@ -370,7 +370,7 @@ def no_reorder_share(spark, d):
 
 @query
 def department_share(spark, d):
-    return eda.share(_lines(spark, d), "department")
+    return eda.share(_lines(spark, d, False), "department")
 
 
 @query
@@ -412,13 +412,13 @@ def reorder_dow_hour_pivot(spark, d):
 @query
 def top20_products(spark, d):
     """Only products with lines can be among the top: names join after the count."""
-    best = eda.top(tables.basket_lines(spark, d), "product_id", 20)
+    best = eda.top(tables.basket_lines(spark, d, reordered=False), "product_id", 20)
     return best.join(tables.products(spark, d).select("product_id", "product_name"), "product_id", "left")
 
 
 @query
 def top20_aisles(spark, d):
-    return eda.top(_lines(spark, d), "aisle", 20)
+    return eda.top(_lines(spark, d, False), "aisle", 20)
 
 
 # clusters

@@ -32,11 +32,13 @@ def basket_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines; `reordered` says whether the user had the product in an earlier order."""
+def basket_lines(spark: SparkSession, sf_dir: str, reordered: bool = True) -> DataFrame:
+    """Order lines; `reordered` says whether the user had the product in an earlier order, which takes a second join."""
     orders = basket_orders(spark, sf_dir).select("order_id", "user_id", "order_number", "eval_set")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.col("l_linenumber").cast("bigint").alias("add_to_cart_order"))
     joined = lines.join(orders, "order_id")
+    if not reordered:
+        return joined.select("order_id", "product_id", "add_to_cart_order", "eval_set")
     first = joined.groupBy("user_id", "product_id").agg(F.min("order_number").alias("first_number"))
     return joined.join(first, ["user_id", "product_id"]).select("order_id", "product_id", "add_to_cart_order", "eval_set", (F.col("order_number") > F.col("first_number")).cast("bigint").alias("reordered"))
 
