@@ -83,13 +83,25 @@ def tables(items: list[tuple[str | None, str | None]], window: int = WINDOW) ->
     return list(by_length.values())
 
 
+#: The tables that this worker built last, by a digest of their items: its next tasks search with them too.
+_built: dict[str, list[WuManber]] = {}
+
+
+def _tables(name: str, items: list[tuple[str | None, str | None]], window: int) -> list[WuManber]:
+    if name not in _built:
+        _built.clear()
+        _built[name] = tables(items, window)
+    return _built[name]
+
+
 def _pass(df: DataFrame, items: list, text: str, window: int, hits: str, found: str) -> DataFrame:
     """Unites what these items hit with the (start, end) pairs and items that `hits` and `found` already hold."""
     schema = df.schema
     kept = df.columns
+    name = hashlib.sha256(repr((window, items)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = tables(items, window)
+        searches = _tables(name, items, window)
         for whole in batches:
             for batch in slices(whole, text):
                 spans, names = [], []
