@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.distance import GRID_SAFE, metric
+from quernel.plans.lineage import stored
 
-GRID = 3
+GRID, GROWTH = 3, 3
 
 
 def _axes(points: DataFrame, features: list[str]) -> list[str]:
@@ -46,31 +47,25 @@ def eps_pairs(points: DataFrame, features: list[str], eps: float, key: str = "id
 
 
 def nearest_distance(points: DataFrame, features: list[str], key: str = "id", distance: str = "euclidean") -> DataFrame:
-    """(id, dist) to the nearest other point. Cells start small and double for the points that found none; a round
-    probes with those points only. A point without any other has no row."""
-    from quernel.plans.lineage import stored
-
+    """(id, dist) to the nearest other point. Points that share their place are at 0 and count as one place from then on.
+    Cells start small and grow by GROWTH for the points that found none: a probe has no neighbour within a third of the
+    radius, so few points can lie around it. A point without any other has no row."""
     points = stored(points.select(key, *features).dropna(), "nearest-points")
-    row = points.agg(F.count("*").alias("n"), *[(F.max(f) - F.min(f)).alias(f) for f in features]).first()
-    spans = [row[f] or 0.0 for f in features]
-    span = max(spans)
-    axes = sorted(features, key=lambda f: (-(row[f] or 0.0), features.index(f)))[:GRID]
+    places = stored(points.groupBy(*features).agg(F.min(key).alias(key), F.count("*").alias("_n")), "nearest-places")
+    row = places.agg(F.count("*").alias("n"), *[(F.max(f) - F.min(f)).alias(f) for f in features]).first()
+    shared = points.join(places.where("_n > 1").select(*features), features, "left_semi").select(key, F.lit(0.0).alias("dist"))
     if row["n"] < 2:
-        return points.select(key, F.lit(0.0).alias("dist")).where("false")
-    if span == 0:
-        return points.select(key, F.lit(0.0).alias("dist"))
-    eps = 2.0 * span / max(2.0, row["n"] ** (1.0 / len(axes)))
-    todo, parts = points, []
+        return shared
+    spans = [row[f] for f in features]
+    axes = sorted(features, key=lambda f: (-row[f], features.index(f)))[:GRID]
+    eps = max(spans) / row["n"] ** (2.0 / 3.0)
+    out, todo = shared, places.where("_n = 1")
     # no two points are further apart than the sum of all spans, whatever the metric
     while True:
-        found = eps_join(todo, points, features, eps, key, distance, axes).where("a != b").groupBy(F.col("a").alias(key)).agg(F.min("dist").alias("dist"))
+        found = eps_join(todo, places, features, eps, key, distance, axes).where("a != b").groupBy(F.col("a").alias(key)).agg(F.min("dist").alias("dist"))
         found = stored(found, "nearest-found")
-        parts.append(found)
+        out = out.unionByName(found)
         todo = stored(todo.join(found, key, "left_anti"), "nearest-todo")
         if eps > 2 * sum(spans) or todo.isEmpty():
-            break
-        eps *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            return out
+        eps *= GROWTH
