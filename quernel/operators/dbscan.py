@@ -77,8 +77,14 @@ def fit(points: DataFrame, features: list[str], params: DbscanParams, key: str =
     both = pairs.select("a", "b").unionAll(pairs.select("b", "a").toDF("a", "b"))
     to_core = stored(both.join(core, both["a"] == core["id"], "left_semi"), "dbscan-to-core")  # a is core
     links = to_core.join(core, to_core["b"] == core["id"], "left_semi")
-    joined = components(links)
-    label = core.join(joined, core["id"] == joined["node"], "left").select("id", F.coalesce("label", "id").alias("label"))
+    # core points of one small cell are all within eps of each other: the smallest stands for them, which leaves few links
+    side = params.eps * (1 - 1e-9) / {"euclidean": len(features) ** 0.5, "manhattan": len(features), "chebyshev": 1}[params.distance]
+    placed = points.withColumnRenamed(key, "id").join(core, "id").select("id", *[F.floor(F.col(f) / side).alias(f"c{i}") for i, f in enumerate(features)])
+    cells = [f"c{i}" for i in range(len(features))]
+    rep = stored(placed.join(placed.groupBy(*cells).agg(F.min("id").alias("rep")), cells).select("id", "rep"), "dbscan-rep")
+    few = links.join(rep.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
+    joined = components(few.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    label = rep.join(joined, rep["rep"] == joined["node"], "left").select("id", F.coalesce("label", "rep").alias("label"))
     label = stored(label, "dbscan-label")
     for name, frame in (("pairs", pairs), ("core", core), ("core_labels", label)):
         debug_dump(frame, debug_path, name)
