@@ -1,13 +1,15 @@
 """The training-data pipeline over `documents`: five stages, each of which works on all that its predecessor kept.
 
 1. quality: documents that the gradient-boosted trees reject (score below QUALITY) go.
-2. near-duplicates: one document of each group of linked texts stays (five-word shingles, similarity 0.8 or more).
+2. near-duplicates: one document of each group of linked texts stays (five-word shingles, similarity 0.8 or more); where ids
+   repeat, each text is a document of its own.
 3. decontamination: documents with enough benchmark words inside whole benchmark windows go.
 4. secrets: secret spans are replaced by a mark, and n_chars follows the text.
 5. tokens: texts are encoded; the text returned is the one that the ids decode to.
 
 Every stage but the last returns the columns of its input. Null texts are empty texts; rows without a doc_id stay in all
-stages unless the first or third rejects their text; empty tables give empty tables.
+stages unless the first or third rejects their text or the second keeps another such row of their group; empty tables give
+empty tables.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @guarded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicated(docs)
+    return neardup.deduplicated_rows(docs)
 
 
 @guarded

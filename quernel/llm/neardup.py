@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,8 +168,13 @@ def _forests(members: DataFrame, test) -> DataFrame:
     return members.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
 
 
+def _mark(text: str) -> Column:
+    """Tells texts apart, byte by byte."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def classes(df: DataFrame, key: str, text: str, shingle: int, hashes: int) -> DataFrame:
-    """(key, n_shingles, digest, sig) of every row; digest and sig are null for an empty set."""
+    """(key, mark of the text, n_shingles, digest, sig) of every row; digest and sig are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(shingle)
@@ -178,9 +183,9 @@ def classes(df: DataFrame, key: str, text: str, shingle: int, hashes: int) -> Da
                 sets = [shingles(x) for x in as_bytes(batch.column(text))]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 sigs = [signature(s, hashes).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n_shingles", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "mark", "n_shingles", "digest", "sig"])
 
-    return in_small_batches(df).select(key, text).mapInArrow(run, "id long, n_shingles long, digest binary, sig binary")
+    return in_small_batches(df).select(key, text, _mark(text).alias("_mark")).mapInArrow(run, "id long, mark binary, n_shingles long, digest binary, sig binary")
 
 
 def _within(hashes: int):
@@ -221,16 +226,16 @@ def _similar(num: int, den: int):
     return test
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row: key, n_shingles, component_id (the smallest id reachable by links) and kept (whether that is its own id).
-    Two sets are linked if den * intersection >= num * union."""
+def _linked(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int, null_ids: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, mark, n_shingles, digest, sig) of every row, and (digest, component_id, label) of every class, where label names its
+    component. With `null_ids`, rows without an id take part in the links."""
     hashes = signature_size(num / den)
     rows = stored(classes(df, key, text, shingle, hashes), "neardup-rows")
-    one = rows.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    # where texts that differ share their smallest id, all but one get a node of their own
+    one = rows.where("digest is not null" if null_ids else "id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    # where texts that differ share their smallest id, all but one get a node of their own, and so do those without an id
     one = stored(one, "neardup-one")
     clash = one.groupBy("id").agg(F.min("digest").alias("lead"), F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("cid"), "lead")
-    one = one.join(clash, one["id"] == clash["cid"], "left").select("digest", "id", "sig", "n", F.when(F.col("lead").isNotNull() & (F.col("lead") != F.col("digest")), -F.shiftrightunsigned(F.xxhash64("digest"), 1) - 1).otherwise(F.col("id")).alias("node"))
+    one = one.join(clash, one["id"] == clash["cid"], "left").select("digest", "id", "sig", "n", F.when(F.col("id").isNull() | F.col("lead").isNotNull() & (F.col("lead") != F.col("digest")), -F.shiftrightunsigned(F.xxhash64("digest"), 1) - 1).otherwise(F.col("id")).alias("node"))
     one = stored(one, "neardup-classes")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,17 +265,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "shingles"])
 
     # the sets of family members are made anew from their texts, so that no set of any other document is kept
-    wanted = df.select(F.col(key).cast("long").alias(key), text).join(family.select(F.col("id").alias(key)).distinct(), key, "left_semi")
-    sets = wanted.mapInArrow(full, "id long, digest binary, shingles binary").join(family.select("node", "id", "digest"), ["id", "digest"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    texts = df.select(F.col(key).cast("long").alias(key), text)
+    wanted = texts.join(family.select(F.col("id").alias(key)).distinct(), key, "left_semi")
+    made = wanted.mapInArrow(full, "id long, digest binary, shingles binary").join(family.select("node", "id", "digest"), ["id", "digest"])
+    if null_ids:
+        unnamed = texts.where(F.col(key).isNull()).distinct().mapInArrow(full, "id long, digest binary, shingles binary")
+        made = made.unionByName(unnamed.join(family.where("id is null").select("node", "digest"), "digest"), allowMissingColumns=True)
+    sets = made.groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = stored(sets, "neardup-sets")
     tested = _paired(family.select("label", "blocks", "node"), "label", "blocks", "node").select("pair", "node").join(sets, "node")
     links = components(_forests(tested, _similar(num, den)))
     named = links.join(one.select("node", "id", "digest"), "node")
     lead = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = named.join(lead, "label").select("digest", "component_id")
-    done = one.select("digest", "id").join(named, "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
+    named = named.join(lead, "label").select("digest", "component_id", "label")
+    done = one.select("digest", "id", "node").join(named, "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("label", "node").alias("label"))
     # a table of its own, so that nothing but the join below rests on its dealing: a class with very many copies can be split
-    done = stored(done, "neardup-done")
+    return rows, stored(done, "neardup-done")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Per row: key, n_shingles, component_id (the smallest id reachable by links) and kept (whether that is its own id).
+    Two sets are linked if den * intersection >= num * union."""
+    rows, done = _linked(df, key, text, shingle, num, den)
     alone = rows.where("id is null or digest is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = rows.where("id is not null and digest is not null").join(done, "digest").select("id", "n_shingles", "component_id").unionByName(alone)
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -285,3 +301,24 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     order = F.struct(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)])
     one = named.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("_row")).select("_row.*")
     return one.unionByName(df.where(F.col(key).isNull()))
+
+
+def deduplicated_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of one document of each group, decided by id and text: texts that differ under one id are documents of their
+    own. The one with the smallest id stays; equal rows, and those of one id whose texts are in one group, go down to one.
+    Rows without an id are linked like others and never displace or give way to one with an id: of a group's, one stays.
+    Those with an empty text all stay."""
+    rows, done = _linked(df, key, text, shingle, num, den, null_ids=True)
+    named = F.col("id").isNotNull()
+    best = rows.where("digest is not null").join(done, "digest").groupBy("label", named.alias("named")).agg(F.min(F.struct("id", "mark")).alias("_best"))
+    empty = rows.where(named & F.col("digest").isNull()).groupBy("id").agg(F.min("mark").alias("mark"))
+    won = best.select("_best.id", "_best.mark").unionByName(empty).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"))
+    won = stored(won, "neardup-won")
+    # of rows with equal id and text the least stays, whatever order they come in
+    order = F.struct(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)])
+    least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("_row")
+    marked = df.withColumns({"_id": F.col(key).cast("long"), "_mark": _mark(text)})
+    with_id = marked.where("_id is not null").join(won, ["_id", "_mark"], "left_semi").groupBy("_id", "_mark").agg(least)
+    without = marked.where("_id is null").join(won.where("_id is null").select("_mark"), "_mark", "left_semi").groupBy("_mark").agg(least)
+    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return with_id.select("_row.*").unionByName(without.select("_row.*")).unionByName(df.where(F.col(key).isNull() & blank))
