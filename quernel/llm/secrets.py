@@ -4,8 +4,9 @@ Base findings are assignments to secret-like names, access keys and long hexadec
 a sliding window over candidate strings: for each character class, a window of WINDOW characters moves along the
 candidate; counts per character change by the one that enters and the one that leaves, and with them the sum of
 c * log2(c) that gives the window's Shannon entropy. Where it reaches the class's bound, the stretch from the first to
-the last such window is a span, unless the allow list suppresses the candidate or a base span already covers it. The
-allow list concerns these spans only; base ones stay.
+the last such window is a span, unless the allow list suppresses the candidate or a base span already covers it. A
+placeholder's word takes out only the part that holds it, up to the next separator on either side; what lies before,
+between and after such parts are candidates of their own. The allow list concerns these spans only; base ones stay.
 
 Edge cases. A null text is the empty text and has no spans; texts of any length are scanned whole; repeated rows give
 repeated results; an empty table gives an empty table; extra columns pass through (`redact`, `scan`), one with an
@@ -28,8 +29,11 @@ HEX = r"[0-9a-f]{32,}+"
 WINDOW = 24
 #: Character classes: candidates, and the bits a window must reach (a window of 24 has 4.58 at most).
 CLASSES = {"entropy_base64": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}+", 4.0), "entropy_hex": (r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{24,}+", 3.2)}
-#: Allow list: placeholders, UUIDs, and names or paths made of words (no digit, or no letter).
-ALLOWED = [r"(?i)example|sample|placeholder|dummy|changeme|x{6}|abcdefgh|01234567", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[^0-9]*$", r"^[^A-Za-z]*$"]
+#: Allow list. Parts of a candidate, between separators, that hold a placeholder's word; and whole candidates: UUIDs, and
+#: names or paths made of words (no digit, or no letter).
+WORDS = r"(?i)example|sample|placeholder|dummy|changeme|x{6}|abcdefgh|01234567"
+PART = rf"(?<![A-Za-z0-9])[A-Za-z0-9]*?(?:{WORDS})[A-Za-z0-9]*+"
+ALLOWED = [r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[^0-9]*$", r"^[^A-Za-z]*$"]
 #: Candidate characters lie between these two code points.
 FIRST, LAST = 43, 122
 
@@ -65,6 +69,23 @@ def _windows(bound: float):
     return lambda s: F.struct(s["start"].alias("at"), _hot(s["match"], bound).alias("hot"))
 
 
+def _rest(s: Column) -> Column:
+    """The candidate, or what allowed parts leave of it, without separators at the ends (but =, which may be padding)."""
+    kind = "array<struct<start:bigint,end:bigint,match:string>>"
+    parts = F.zip_with(F.split(s["match"], PART, -1), F.regexp_extract_all(s["match"], F.lit(PART), F.lit(0)), lambda x, gone: F.struct(x.alias("x"), F.coalesce(F.length(gone), F.lit(0)).alias("gone")))
+    zero = F.struct(s["start"].alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        x = F.ltrim(p["x"], F.lit("+/_=-"))
+        start, kept = a["at"] + F.length(p["x"]) - F.length(x), F.rtrim(x, F.lit("+/_-"))
+        one = F.struct(start.alias("start"), (start + F.length(kept)).alias("end"), kept.alias("match"))
+        more = F.when(F.length(kept) >= WINDOW, F.array(one).cast(kind)).otherwise(F.array().cast(kind))
+        return F.struct((a["at"] + F.length(p["x"]) + p["gone"]).alias("at"), F.concat(a["out"], more).alias("out"))
+
+    whole = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"))).cast(kind)
+    return F.when(s["match"].rlike(WORDS), F.aggregate(parts, zero, step, lambda a: a["out"])).otherwise(whole)
+
+
 def _hot_span(kind: int, name: str):
     return lambda s: F.struct((s["at"] + s["hot"]["first"]).alias("start"), F.lit(kind).alias("kind"), (s["at"] + s["hot"]["last"] + WINDOW).alias("end"), F.lit(name).alias("name"))
 
@@ -89,7 +110,9 @@ def _scan(df: DataFrame) -> DataFrame:
 
     more = []
     for k, (n, (_, bound)) in enumerate(CLASSES.items()):
+        # whole candidates first, then what is left of those that hold an allowed part
         df = df.withColumn(f"_{n}", F.filter(f"_{n}", suspect))
+        df = df.withColumn(f"_{n}", F.filter(F.flatten(F.transform(f"_{n}", _rest)), suspect))
         df = df.withColumn(f"_{n}", F.transform(f"_{n}", _windows(bound)))
         more.append(F.transform(F.filter(f"_{n}", lambda s: s["hot"]["first"] >= 0), _hot_span(3 + k, n)))
     df = df.withColumn("found", F.array_sort(F.concat("base", *[m.cast(spans.SPAN) for m in more])))
