@@ -7,8 +7,8 @@ shards, where a task hands on the k-th scores from one shard to the next. Inside
 best-first: nodes are opened in the order of the highest score that any point of their box can have with the query, and
 the search ends when no box left can beat the k-th score (or, at an equal score, the k-th id).
 
-Edge cases. Vectors that are null, empty, hold nulls, NaN or infinities, or whose scaled components pass 2**31,
-take no part; nor do rows with a null id. Rows that repeat an id count as one vector, the smallest of those given.
+Edge cases. Vectors that are null, empty, hold nulls, NaN or infinities, or whose scaled components don't fit a
+long, take no part; a score among the best that doesn't fit one is an error; nor do rows with a null id. Rows that repeat an id count as one vector, the smallest of those given.
 Vectors meet only vectors of their own dimension. Ties go to the smaller id. Fewer than k candidates give fewer rows;
 empty tables give no rows. Extra columns are ignored.
 """
@@ -50,7 +50,7 @@ class KdTree:
             self.high.append(high)
             self.least.append(ids[place[a:b]].min())
             if b - a > LEAF and (high > low).any():
-                axis = int(np.argmax(high - low))
+                axis = int(np.argmax(high.astype(float) - low))
                 mid = (b - a) // 2
                 split = np.argpartition(part[:, axis], mid)
                 place[a:b] = place[a:b][split]
@@ -93,6 +93,10 @@ class KdTree:
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, kth: np.ndarray, kth_id: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """For each query the (score, id) that may be among its k best, given that k candidates as good as kth, kth_id are known."""
+        if self.x.dtype == float and q.size and self.x.size:
+            peak = max(float(np.abs(self.low[0]).max()), float(np.abs(self.high[0]).max()))
+            if peak * float(np.abs(q.astype(float)).max()) * q.shape[1] >= 2**53:  # large queries of a tree of small numbers
+                self.low, self.high, self.x = (p.astype(np.int64).astype(object) for p in (self.low, self.high, self.x))
         q = q.astype(self.x.dtype)
         # the highest score that a point of each node's box can have
         up, down = np.maximum(q, 0), np.minimum(q, 0)
@@ -100,7 +104,8 @@ class KdTree:
         blocks: dict[int, np.ndarray] = {}
         for row, own in enumerate(query_ids.tolist()):
             bounds = bound[row]
-            worst, worst_id = int(kth[row]), int(kth_id[row])
+            # where no k-th score is known, scores too low for a long aren't passed over either
+            worst, worst_id = int(kth[row]) if kth[row] > np.iinfo(np.int64).min else -np.inf, int(kth_id[row])
             best: list[tuple[int, int]] = []  # a heap of (score, -id)
             heap = [(-bounds[0], 0)] if self.start else []
             while heap:
@@ -134,7 +139,7 @@ class KdTree:
 def scaled(vector: Column, scale: int = SCALE) -> Column:
     """Components as floor(scale * x), x as double; null where a vector takes no part."""
     x = vector.cast("array<double>")
-    limit = 2.0**31
+    limit = 2.0**63
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < limit))
     return F.when(vector.isNotNull() & (F.size(x) > 0) & fine, F.transform(x, lambda v: F.floor(v * scale)))
 
