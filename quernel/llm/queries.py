@@ -27,12 +27,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tokenizer versions come in as a batch each; the first is delivered twice, which changes nothing."""
+    """Two tokenizer versions come in as a batch each; the first is delivered twice, which changes nothing. The second comes
+    with the first's counts, which a batch revises; then all documents of the first are deleted and inserted again."""
     docs, rollup = table(spark, sf_dir, "documents"), tokencounts.Rollup(spark, scratch(spark, "token-counts"))
-    for name in tokencounts.TOKENIZERS:
-        rollup.commit(f"load-{name}", tokencounts.inserts(tokencounts.counted(docs, name)))
-    first = next(iter(tokencounts.TOKENIZERS))
-    rollup.commit(f"load-{first}", tokencounts.inserts(tokencounts.counted(docs, first)))
+    first, second = tokencounts.TOKENIZERS
+    loaded = tokencounts.counted(docs, first)
+    rollup.commit(f"load-{first}", tokencounts.inserts(loaded))
+    rollup.commit(f"load-{second}", tokencounts.inserts(loaded.withColumn("tokenizer", F.lit(second))))
+    rollup.commit(f"load-{first}", tokencounts.inserts(loaded))
+    rollup.compact()
+    rollup.commit(f"revise-{second}", tokencounts.revisions(tokencounts.recounted(docs, second, first)))
+    rollup.commit(f"delete-{first}", tokencounts.deletes(loaded))
+    rollup.commit(f"again-{first}", tokencounts.inserts(loaded))
     rollup.compact()
     return rollup.totals()
 

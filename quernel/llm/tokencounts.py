@@ -108,6 +108,11 @@ class Rollup:
                 remove(self.spark, f"{self.path}/batches/{b}")
 
 
-def counted(docs: DataFrame, tokenizer: str, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """A row of KEYS and n_tokens for each document."""
-    return docs.select(F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), tokens(F.col(text), tokenizer).alias("n_tokens"))
+def recounted(docs: DataFrame, tokenizer: str, before: str, text: str = "text") -> DataFrame:
+    """The rows of `counted`, with old_tokens: what the tokenizer `before` had counted."""
+    return counted(docs.withColumn("_old", tokens(F.col(text), before)), tokenizer, text, kept=("_old",)).withColumnRenamed("_old", "old_tokens")
+
+
+def counted(docs: DataFrame, tokenizer: str, text: str = "text", source: str = "source", lang: str = "lang", kept: tuple[str, ...] = ()) -> DataFrame:
+    """A row of KEYS and n_tokens for each document, and columns that are `kept`."""
+    return docs.select(F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), tokens(F.col(text), tokenizer).alias("n_tokens"), *kept)
