@@ -1,7 +1,8 @@
 """Lloyd's k-means as DataFrame plans, and the library's k-means behind the same interface.
 
 Points are frames of an id and feature columns. Centres are k rows of numbers: they live on the driver and enter the plans as
-literals, so an iteration is one scan and one aggregation of k groups with map-side sums. Start: the k points with the
+literals, so an iteration is one scan and one aggregation of k groups with map-side sums; the fits of several k go
+in step, one scan a round for all of them. Start: the k points with the
 smallest md5 of id and seed, which any SQL engine can repeat. Centres are rounded to DIGITS after each step for the same
 reason. A cluster that loses all its points keeps its centre; iteration stops at `max_iter`, or when centres move less
 than `tol` in the mean, and the newest centres are returned.
@@ -9,6 +10,7 @@ than `tol` in the mean, and the newest centres are returned.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from math import dist
 from time import perf_counter
@@ -16,7 +18,6 @@ from time import perf_counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.distance import squared
 from quernel.plans.lineage import stored
 
 DIGITS = 9
@@ -39,8 +40,10 @@ class KMeansModel:
 
 
 def nearest(features: list[str], centres: list[list[float]]) -> Column:
-    own = [F.col(f) for f in features]
-    return F.array_min(F.array(*[F.struct(squared(own, [F.lit(float(x)) for x in c]).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]))
+    """A struct of the squared distance to the nearest centre and its number. As text: a tree of columns, node by node, takes
+    longer to build than a round takes to run on small inputs."""
+    far = (" + ".join(f"(`{f}` - ({float(x)!r}D)) * (`{f}` - ({float(x)!r}D))" for f, x in zip(features, c, strict=True)) for c in centres)
+    return F.expr("array_min(array(" + ", ".join(f"named_struct('d', {d}, 'cluster', {i})" for i, d in enumerate(far)) + "))")
 
 
 def initial(points: DataFrame, features: list[str], k: int, seed: int = 42, key: str = "id") -> list[list[float]]:
@@ -51,25 +54,36 @@ def initial(points: DataFrame, features: list[str], k: int, seed: int = 42, key:
     return [[float(x) for x in r] for r in rows]
 
 
-def step(points: DataFrame, features: list[str], centres: list[list[float]]) -> list[list[float]]:
-    """Means of the points nearest to each centre."""
-    found = KMeansModel(features, centres).assign(points).groupBy("cluster").agg(*[F.round(F.avg(f), DIGITS).alias(f) for f in features]).collect()
-    new = [list(c) for c in centres]
+def steps(points: DataFrame, features: list[str], models: dict[int, list[list[float]]]) -> dict[int, list[list[float]]]:
+    """For each k, the means of the points nearest to each of its centres. The points are read once."""
+    best = F.array(*[F.struct(F.lit(k).alias("k"), nearest(features, c)["cluster"].alias("cluster")) for k, c in models.items()])
+    found = points.select(*features, F.inline(best)).groupBy("k", "cluster").agg(*[F.round(F.avg(f), DIGITS).alias(f) for f in features]).collect()
+    new = {k: [list(c) for c in centres] for k, centres in models.items()}
     for r in found:
-        new[r["cluster"]] = [float(r[f]) for f in features]
+        new[r["k"]][r["cluster"]] = [float(r[f]) for f in features]
     return new
 
 
-def fit(points: DataFrame, features: list[str], k: int, tol: float = 1e-4, max_iter: int = 250, seed: int = 42, key: str = "id") -> KMeansModel:
+def fit_all(points: DataFrame, features: list[str], ks: Iterable[int], tol: float = 1e-4, max_iter: int = 250, seed: int = 42, key: str = "id") -> dict[int, KMeansModel]:
+    """A model for each k; those whose centres have come to rest sit out the later rounds."""
     points = stored(points.select(key, *features).dropna(), "kmeans-points")
-    centres, shift, done = initial(points, features, k, seed, key), 0.0, 0
-    while done < max_iter:
-        new = step(points, features, centres)
-        shift = sum(dist(a, b) for a, b in zip(centres, new, strict=True)) / k
-        centres, done = new, done + 1
-        if shift < tol:
-            break
-    return KMeansModel(features, centres, done, shift)
+    ks = sorted(set(ks))
+    if ks and ks[0] < 1:
+        raise ValueError(f"k is {ks[0]}")
+    start = initial(points, features, ks[-1], seed, key) if ks else []
+    models = {k: KMeansModel(features, start[:k]) for k in ks}
+    moving = ks if max_iter > 0 else []
+    while moving:
+        moved = steps(points, features, {k: models[k].centres for k in moving})
+        for k in moving:
+            shift = sum(dist(a, b) for a, b in zip(models[k].centres, moved[k], strict=True)) / k
+            models[k] = KMeansModel(features, moved[k], models[k].iterations + 1, shift)
+        moving = [k for k in moving if models[k].shift >= tol and models[k].iterations < max_iter]
+    return models
+
+
+def fit(points: DataFrame, features: list[str], k: int, tol: float = 1e-4, max_iter: int = 250, seed: int = 42, key: str = "id") -> KMeansModel:
+    return fit_all(points, features, [k], tol, max_iter, seed, key)[k]
 
 
 def wssse(points: DataFrame, model: KMeansModel) -> DataFrame:
@@ -80,7 +94,7 @@ def wssse(points: DataFrame, model: KMeansModel) -> DataFrame:
 def elbow(points: DataFrame, features: list[str], ks: range, tol: float = 1e-4, max_iter: int = 250, seed: int = 42, key: str = "id") -> DataFrame:
     """(k, wssse) for each k. The models are k rows each; the errors of all are summed in one pass."""
     points = stored(points.select(key, *features).dropna(), "elbow-points")
-    models = {k: fit(points, features, k, tol, max_iter, seed, key) for k in ks}
+    models = fit_all(points, features, ks, tol, max_iter, seed, key)
     sums = points.agg(F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.sum(nearest(features, m.centres)["d"]), 6).alias("wssse")) for k, m in models.items()]).alias("rows"))
     return sums.select(F.inline("rows"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import BUCKETS, ELBOW, ELBOW_ROUNDS, EPS, MIN_POINTS, PAIR_EPS, RFM, ROUNDS, SHIFT, K
+from .queries import BUCKETS, ELBOW, EPS, MAX_ITER, MIN_POINTS, PAIR_EPS, RFM, SHIFT, TOL, K
 
 SQL: dict[str, str] = {}
 
@@ -140,32 +140,43 @@ SQL["top20_products"] = f"WITH {_DIMS} SELECT product_id, count(*) AS n, any_val
 SQL["top20_aisles"] = f"WITH {_DIMS} SELECT aisle, count(*) AS n FROM ld GROUP BY 1 ORDER BY n DESC, aisle LIMIT 20"
 
 _POINTS = f"{_RFM}, {_log('rfm', 'logs', 'customer_id AS id')}, {_std('logs', 'pts', 'id', 9)}"
-_DIST2 = " + ".join(f"(p.{f} - c.{f}) * (p.{f} - c.{f})" for f in RFM)
 
 
-def _lloyd(k: int, rounds: int, tag: str = "") -> str:
-    """Centres c<tag>0 ... c<tag><rounds>, one table for each round."""
-    parts = [f"c{tag}0 AS (SELECT CAST(row_number() OVER (ORDER BY md5(id || ':42'), id) - 1 AS INTEGER) AS cluster, {', '.join(RFM)} FROM pts ORDER BY md5(id || ':42'), id LIMIT {k})"]
-    for r in range(rounds):
-        near = f"SELECT p.*, arg_min(c.cluster, struct_pack(d := {_DIST2}, j := c.cluster)) OVER (PARTITION BY p.id) AS cluster, row_number() OVER (PARTITION BY p.id) AS one FROM pts p, c{tag}{r} c"
-        means = ", ".join(f"round(avg({f}), 9) AS {f}" for f in RFM)
-        parts.append(f"m{tag}{r} AS (SELECT cluster, {means} FROM ({near}) WHERE one = 1 GROUP BY cluster)")
-        parts.append(f"c{tag}{r + 1} AS (SELECT c.cluster, {', '.join(f'coalesce(m.{f}, c.{f}) AS {f}' for f in RFM)} FROM c{tag}{r} c LEFT JOIN m{tag}{r} m USING (cluster))")
-    last = f"c{tag}{rounds}"
-    parts.append(f"a{tag} AS (SELECT id, min(struct_pack(d := {_DIST2}, j := c.cluster)) AS best FROM pts p, {last} c GROUP BY id)")
-    return ", ".join(parts)
+def _away(a: str, b: str) -> str:
+    return " + ".join(f"({a}.{f} - {b}.{f}) * ({a}.{f} - {b}.{f})" for f in RFM)
 
 
-_KM = f"{_POINTS}, {_lloyd(K, ROUNDS)}, assigned AS (SELECT pts.*, best.j AS cluster, best.d AS dist2 FROM a JOIN pts USING (id))"
+_START = "SELECT * FROM pts ORDER BY md5(id || ':42'), id LIMIT {k}"
+
+
+def _lloyd(k: int, tag: str = "") -> str:
+    """A row of m<tag> for each round: its number, the list of centres, and how far they moved in the mean. It ends as the fit
+    does. Needs WITH RECURSIVE. z<tag> is the last row, a<tag> the points with the number and squared distance of their centre."""
+    centre = "struct_pack(" + ", ".join(f"{f} := {f}" for f in RFM) + ")"
+    mean = "struct_pack(" + ", ".join(f"{f} := round(avg({f}), 9)" for f in RFM) + ")"
+    far = f"list_transform(centres, lambda c: {_away('p', 'c')})"
+    return f"""m{tag} AS (
+  SELECT 0 AS round, list({centre} ORDER BY md5(id || ':42'), id) AS centres, CAST(NULL AS DOUBLE) AS shift FROM ({_START.format(k=k)})
+  UNION ALL
+  SELECT round + 1, new, list_avg(list_transform(list_zip(centres, new), lambda z: sqrt({_away('z[1]', 'z[2]')}))) FROM (
+    SELECT round, centres, list(coalesce(mean, centres[j]) ORDER BY j) AS new
+    FROM (SELECT round, centres, unnest(generate_series(1, len(centres))) AS j FROM m{tag} WHERE round < {MAX_ITER} AND (shift IS NULL OR shift >= {TOL}))
+    LEFT JOIN (SELECT j, {mean} AS mean FROM (SELECT p.*, list_position({far}, list_min({far})) AS j FROM m{tag}, pts p) GROUP BY j) USING (j)
+    GROUP BY round, centres)),
+z{tag} AS (SELECT * FROM m{tag} ORDER BY round DESC LIMIT 1),
+a{tag} AS (SELECT p.*, CAST(list_position({far}, list_min({far})) - 1 AS INTEGER) AS cluster, list_min({far}) AS dist2 FROM pts p, z{tag})"""
+
+
+_KM = f"RECURSIVE {_POINTS}, {_lloyd(K)}"
 SQL["bounding_box"] = f"WITH {_POINTS} " + _each("SELECT '{c}' AS feature, round(min({c}), 6) AS lo, round(max({c}), 6) AS hi FROM pts", " UNION ALL ")
-SQL["kmeans_init"] = f"WITH {_POINTS}, {_lloyd(K, 0)} SELECT cluster, {_each('round({c}, 6) AS {c}')} FROM c0"
-SQL["kmeans_centroids"] = f"WITH {_KM} SELECT cluster, {_each('round({c}, 6) AS {c}')} FROM c{ROUNDS}"
-SQL["kmeans_assign"] = f"WITH {_KM} SELECT id, cluster FROM assigned"
-SQL["kmeans_shift"] = f"WITH {_KM} SELECT round(avg(sqrt({_DIST2})), 6) AS shift FROM c{ROUNDS - 1} p JOIN c{ROUNDS} c USING (cluster)"
-SQL["kmeans_wssse"] = f"WITH {_KM} SELECT round(round(sum(dist2), 6), 4) AS wssse FROM assigned"
-SQL["kmeans_elbow"] = f"WITH {_POINTS}, {', '.join(_lloyd(k, ELBOW_ROUNDS, f'_{k}_') for k in ELBOW)} " + " UNION ALL ".join(f"SELECT {k} AS k, round(round(sum(best.d), 6), 4) AS wssse FROM a_{k}_" for k in ELBOW)
-SQL["cluster_summary"] = f"WITH {_KM} " + _each(_DESCRIBE.format(g="cluster, ", d=2, t="assigned", by=" GROUP BY cluster"), " UNION ALL ")
-_NAMED = f"{_KM}, named AS (SELECT cluster, rfm.* FROM assigned JOIN rfm ON id = customer_id)"
+SQL["kmeans_init"] = f"WITH {_POINTS} SELECT CAST(row_number() OVER (ORDER BY md5(id || ':42'), id) - 1 AS INTEGER) AS cluster, {_each('round({c}, 6) AS {c}')} FROM ({_START.format(k=K)})"
+SQL["kmeans_centroids"] = f"WITH {_KM} SELECT CAST(j - 1 AS INTEGER) AS cluster, {_each('round(centres[j].{c}, 6) AS {c}')} FROM (SELECT centres, unnest(generate_series(1, len(centres))) AS j FROM z)"
+SQL["kmeans_assign"] = f"WITH {_KM} SELECT id, cluster FROM a"
+SQL["kmeans_shift"] = f"WITH {_KM} SELECT round(shift, 6) AS shift FROM z"
+SQL["kmeans_wssse"] = f"WITH {_KM} SELECT round(round(sum(dist2), 6), 4) AS wssse FROM a"
+SQL["kmeans_elbow"] = f"WITH RECURSIVE {_POINTS}, {', '.join(_lloyd(k, f'_{k}') for k in ELBOW)} " + " UNION ALL ".join(f"SELECT {k} AS k, round(round(sum(dist2), 6), 4) AS wssse FROM a_{k}" for k in ELBOW)
+SQL["cluster_summary"] = f"WITH {_KM} " + _each(_DESCRIBE.format(g="cluster, ", d=2, t="a", by=" GROUP BY cluster"), " UNION ALL ")
+_NAMED = f"{_KM}, named AS (SELECT cluster, rfm.* FROM a JOIN rfm ON id = customer_id)"
 SQL["segment_profile"] = f"WITH {_NAMED} SELECT cluster, round(median(recency), 6) AS median_recency, round(median(frequency), 6) AS median_frequency, round(sum(monetary), 4) AS total_monetary, count(*) AS size, round(sum(monetary) / count(*), 0) AS monetary_per_member FROM named GROUP BY 1"
 SQL["relative_importance"] = f"WITH {_NAMED} SELECT cluster, {_each('round(avg({c}) / any_value(m_{c}) - 1, 6) AS {c}')} FROM named, (SELECT {_each('avg({c}) AS m_{c}')} FROM named) GROUP BY 1"
 

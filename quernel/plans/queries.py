@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from quernel.functions import stats
 from quernel.functions.ranks import running_sum
 from quernel.operators import dbscan, eda, epsjoin, features, kmeans, summary
+from quernel.plans.lineage import stored
 from quernel.sources import tables
 from quernel.sources.files import monthly, union_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Features of the clustering queries, and their parameters.
 RFM = ["recency", "frequency", "monetary"]
-K, ROUNDS, ELBOW, ELBOW_ROUNDS = 4, 5, range(2, 6), 3
-#: What the SQL twins, with their rounds written out, can't follow: centres that come to rest, and the whole sweep of k.
-TOL, MAX_ITER, SWEEP = 1e-4, 250, range(2, 11)
+K, TOL, MAX_ITER, ELBOW = 4, 1e-4, 250, range(2, 11)
 EPS, MIN_POINTS, PAIR_EPS, SHIFT = 0.3, 5, 0.1, 0.15
 BUCKETS = 16
 
@@ -432,15 +431,10 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scaled.withColumnRenamed("customer_id", "id"), RFM, kmeans.DIGITS)
 
 
-def _model(spark: SparkSession, d: str, tol: float = 0.0, max_iter: int = ROUNDS) -> tuple[DataFrame, kmeans.KMeansModel]:
-    from quernel.plans.lineage import stored
-
+def _model(spark: SparkSession, d: str) -> tuple[DataFrame, kmeans.KMeansModel]:
+    """The points and their centres, which have come to rest."""
     at = stored(points(spark, d), "points")
-    return at, kmeans.fit(at, RFM, K, tol=tol, max_iter=max_iter)
-
-
-def _converged(spark: SparkSession, d: str) -> tuple[DataFrame, kmeans.KMeansModel]:
-    return _model(spark, d, TOL, MAX_ITER)
+    return at, kmeans.fit(at, RFM, K, TOL, MAX_ITER)
 
 
 @query
@@ -455,115 +449,52 @@ def kmeans_init(spark, d):
     return rounded(start, RFM)
 
 
-def _centroids(spark, d, fitted):
-    return rounded(fitted(spark, d)[1].frame(spark), RFM)
-
-
-def _assigned(spark, d, fitted):
-    at, model = fitted(spark, d)
-    return model.assign(at).select("id", "cluster")
-
-
-def _shift(spark, d, fitted):
-    """The mean move of the centres in the last round."""
-    return spark.createDataFrame([(fitted(spark, d)[1].shift,)], "shift double").select(F.round("shift", 6).alias("shift"))
-
-
-def _wssse(spark, d, fitted):
-    return rounded(kmeans.wssse(*fitted(spark, d)), ["wssse"], 4)
-
-
-def _summary(spark, d, fitted):
-    at, model = fitted(spark, d)
-    return summary.grouped_describe(model.assign(at), "cluster", RFM)
-
-
-def _named(spark, d, fitted):
-    at, model = fitted(spark, d)
-    return model.assign(at).select(F.col("id").alias("customer_id"), "cluster").join(_retail(spark, d), "customer_id")
-
-
 @query
 def kmeans_centroids(spark, d):
-    return _centroids(spark, d, _model)
+    return rounded(_model(spark, d)[1].frame(spark), RFM)
 
 
 @query
 def kmeans_assign(spark, d):
-    return _assigned(spark, d, _model)
+    at, model = _model(spark, d)
+    return model.assign(at).select("id", "cluster")
 
 
 @query
 def kmeans_shift(spark, d):
-    return _shift(spark, d, _model)
+    """The mean move of the centres in the last round."""
+    return spark.createDataFrame([(_model(spark, d)[1].shift,)], "shift double").select(F.round("shift", 6).alias("shift"))
 
 
 @query
 def kmeans_wssse(spark, d):
-    return _wssse(spark, d, _model)
+    return rounded(kmeans.wssse(*_model(spark, d)), ["wssse"], 4)
 
 
 @query
 def kmeans_elbow(spark, d):
-    return rounded(kmeans.elbow(points(spark, d), RFM, ELBOW, tol=0.0, max_iter=ELBOW_ROUNDS), ["wssse"], 4)
+    return rounded(kmeans.elbow(points(spark, d), RFM, ELBOW, TOL, MAX_ITER), ["wssse"], 4)
 
 
 @query
 def cluster_summary(spark, d):
-    return _summary(spark, d, _model)
-
-
-@query
-def segment_profile(spark, d):
-    return summary.segment_profile(_named(spark, d, _model), "cluster", *RFM)
-
-
-@query
-def relative_importance(spark, d):
-    return summary.relative_importance(_named(spark, d, _model), "cluster", RFM)
-
-
-# the same, of centres that have come to rest
-
-
-@query
-def kmeans_centroids_converged(spark, d):
-    return _centroids(spark, d, _converged)
-
-
-@query
-def kmeans_assign_converged(spark, d):
-    return _assigned(spark, d, _converged)
-
-
-@query
-def kmeans_shift_converged(spark, d):
-    return _shift(spark, d, _converged)
-
-
-@query
-def kmeans_wssse_converged(spark, d):
-    return _wssse(spark, d, _converged)
-
-
-@query
-def kmeans_elbow_converged(spark, d):
-    return rounded(kmeans.elbow(points(spark, d), RFM, SWEEP, TOL, MAX_ITER), ["wssse"], 4)
+    at, model = _model(spark, d)
+    return summary.grouped_describe(model.assign(at), "cluster", RFM)
 
 
-@query
-def cluster_summary_converged(spark, d):
-    return _summary(spark, d, _converged)
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    at, model = _model(spark, d)
+    return model.assign(at).select(F.col("id").alias("customer_id"), "cluster").join(_retail(spark, d), "customer_id")
 
 
 @query
-def segment_profile_converged(spark, d):
-    return summary.segment_profile(_named(spark, d, _converged), "cluster", *RFM)
+def segment_profile(spark, d):
+    return summary.segment_profile(_named(spark, d), "cluster", *RFM)
 
 
 @query
-def relative_importance_converged(spark, d):
-    return summary.relative_importance(_named(spark, d, _converged), "cluster", RFM)
+def relative_importance(spark, d):
+    return summary.relative_importance(_named(spark, d), "cluster", RFM)
 
 
 def _library(spark, d, mode):
@@ -584,7 +515,7 @@ def kmeans_ml_parallel(spark, d):
 @query
 def kmeans_elbow_ml(spark, d):
     at = points(spark, d)
-    return spark.createDataFrame([(k, round(kmeans.library_fit(at, RFM, k)[0].summary.trainingCost, 4)) for k in SWEEP], "k int, cost double")
+    return spark.createDataFrame([(k, round(kmeans.library_fit(at, RFM, k)[0].summary.trainingCost, 4)) for k in ELBOW], "k int, cost double")
 
 
 @query

@@ -30,19 +30,19 @@ def lloyd(x, k):
 def test_centres_come_to_rest(spark, plain):
     ids, x = plain
     centres, shift, far = lloyd(x, K)
-    got = {r.cluster: [r[f] for f in RFM] for r in QUERIES["kmeans_centroids_converged"](spark, SF).collect()}
+    got = {r.cluster: [r[f] for f in RFM] for r in QUERIES["kmeans_centroids"](spark, SF).collect()}
     assert np.allclose([got[j] for j in range(K)], centres, atol=2e-6)
-    assert QUERIES["kmeans_shift_converged"](spark, SF).first().shift == pytest.approx(shift, abs=2e-6) and shift < 1e-4
-    assert QUERIES["kmeans_wssse_converged"](spark, SF).first().wssse == pytest.approx(far.min(axis=1).sum(), abs=2e-4)
-    labels = {r.id: r.cluster for r in QUERIES["kmeans_assign_converged"](spark, SF).collect()}
+    assert QUERIES["kmeans_shift"](spark, SF).first().shift == pytest.approx(shift, abs=2e-6) and shift < 1e-4
+    assert QUERIES["kmeans_wssse"](spark, SF).first().wssse == pytest.approx(far.min(axis=1).sum(), abs=2e-4)
+    labels = {r.id: r.cluster for r in QUERIES["kmeans_assign"](spark, SF).collect()}
     assert labels == dict(zip(ids, far.argmin(axis=1).tolist(), strict=True))
     sizes = np.bincount(list(labels.values()), minlength=K).tolist()
-    assert [r.size for r in QUERIES["segment_profile_converged"](spark, SF).orderBy("cluster").collect()] == sizes
-    assert {(r.cluster, r.n) for r in QUERIES["cluster_summary_converged"](spark, SF).collect()} == set(enumerate(sizes))
-    assert QUERIES["relative_importance_converged"](spark, SF).count() == K
+    assert [r.size for r in QUERIES["segment_profile"](spark, SF).orderBy("cluster").collect()] == sizes
+    assert {(r.cluster, r.n) for r in QUERIES["cluster_summary"](spark, SF).collect()} == set(enumerate(sizes))
+    assert QUERIES["relative_importance"](spark, SF).count() == K
 
 
 def test_elbows_go_from_2_to_10(spark, plain):
-    got = {r.k: r.wssse for r in QUERIES["kmeans_elbow_converged"](spark, SF).collect()}
+    got = {r.k: r.wssse for r in QUERIES["kmeans_elbow"](spark, SF).collect()}
     assert got == pytest.approx({k: lloyd(plain[1], k)[2].min(axis=1).sum() for k in range(2, 11)}, abs=2e-4)
     assert sorted(r.k for r in QUERIES["kmeans_elbow_ml"](spark, SF).collect()) == list(range(2, 11))
