@@ -101,7 +101,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "nn-hist":
         found = stats.histogram(epsjoin.nearest_distance(points, names, distance=args.distanceMeasure), "dist", args.numBuckets)
     elif args.command == "neighbor-hist":
-        near = dbscan.neighbour_counts(points, epsjoin.eps_pairs(points, names, args.epsilon, distance=args.distanceMeasure))
+        near = epsjoin.neighbour_counts(points, names, args.epsilon, distance=args.distanceMeasure)
         found = stats.histogram(near, "n", args.numBuckets)
     else:
         with timed(args.alg_name):

@@ -3,21 +3,34 @@
 A point with at least `min_points` points within eps, itself included, is a core point. Core points within eps of each
 other are one cluster. Any other point within eps of a core point belongs to the cluster of the smallest label among those,
 or is noise if borders count as noise. Labels are dense numbers from 1, in order of the clusters' smallest core ids.
+
+Points lie in cells so small that all points of one are within eps of each other, and no pair of points is ever stored: what is
+stored grows with the points and the cells around each, however dense they lie.
+
+1. A cell with `min_points` points holds core points only. A point of another cell counts the points of the cells around it: those of
+   a cell that lies within eps as a whole by the cell's count, others one by one, summed where the join meets them.
+2. Core points of a cell are one cluster. Two cells are linked if their boxes lie within eps as a whole, or two of their
+   outermost core points do. Only pairs of cells that are still in different clusters then are compared point by point, and
+   a point leaves the comparison at its first neighbour.
+3. Border points lie in cells with fewer than `min_points` points; each looks for a core point in the cells around it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions.distance import box_bounds, grid, metric
 from quernel.functions.ranks import running_sum
 from quernel.plans.lineage import stored
 from quernel.sources.sinks import debug_dump
 
 from .components import components
-from .epsjoin import eps_join, eps_pairs
+from .epsjoin import GRID, eps_join, eps_pairs
 
 #: Ids that aren't clusters.
 NOISE, NEW_CLUSTER, UNDEFINED = 0, -1, -2
@@ -31,13 +44,6 @@ class DbscanParams:
     border_as_noise: bool = False
 
 
-def neighbour_counts(points: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
-    """(id, n): points within eps, itself included."""
-    ends = pairs.select(F.col("a").alias(key)).unionAll(pairs.select(F.col("b").alias(key)))
-    more = ends.groupBy(key).agg(F.count("*").alias("m"))
-    return points.select(key).join(more, key, "left").select(key, (F.coalesce("m", F.lit(0)) + 1).alias("n"))
-
-
 class DbscanModel:
     """Points with their cluster."""
 
@@ -69,28 +75,114 @@ class DbscanModel:
         return new.select(key).join(found, new[key] == found["a"], "left").select(key, label.cast("int").alias("cluster"))
 
 
+class _Space:
+    """Cells, boxes and distances of `d` features, which frames hold as x0, x1, ...; a box is l0, h0, l1, h1, ..."""
+
+    def __init__(self, d: int, eps: float, distance: str):
+        self.d, self.eps, self.distance = d, eps, distance
+        self.x, self.c = [f"x{i}" for i in range(d)], [f"c{i}" for i in range(d)]
+        self.cell, self.reach = grid(distance, eps, d)
+        self.axes = self.c[:GRID]
+
+    def box(self) -> list[Column]:
+        return [f(x).alias(f"{n}{i}") for i, x in enumerate(self.x) for f, n in ((F.min, "l"), (F.max, "h"))]
+
+    def bounds(self, a: str, b: str) -> tuple[Column, Column]:
+        """Bounds of the distance between the boxes of two sides of a join."""
+        of = lambda s: [(F.col(f"{s}.l{i}"), F.col(f"{s}.h{i}")) for i in range(self.d)]
+        return box_bounds(self.distance, of(a), of(b))
+
+    def away(self, a: str, b: str) -> Column:
+        return metric(self.distance)([F.col(f"{a}.{x}") for x in self.x], [F.col(f"{b}.{x}") for x in self.x])
+
+    def shape(self) -> list[str]:
+        """Columns of a cell's place and box."""
+        return [*self.c, *[f"{n}{i}" for i in range(self.d) for n in "lh"]]
+
+    def around(self, xs: DataFrame, ys: DataFrame, *more: str) -> DataFrame:
+        """(x, y, whole, and columns of y as `more` names them): for every cell x of xs the other cells y of ys whose box lies
+        within eps of its own; `whole` says whether every point of the one is within eps of every point of the other."""
+        blocks = [F.floor(F.col(c) / self.reach).alias(f"k{i}") for i, c in enumerate(self.axes)]
+        names = [f"k{i}" for i in range(len(blocks))]
+        offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, o, strict=True)]) for o in product((-1, 0, 1), repeat=len(names))])
+        left = xs.select("*", *blocks).withColumn("_o", F.explode(offsets)).withColumns({n: F.col(n) + F.col(f"_o.{n}") for n in names})
+        met = left.alias("x").join(ys.select("*", *blocks).alias("y"), reduce(lambda p, q: p & q, [F.col(f"x.{n}") == F.col(f"y.{n}") for n in names])).where("x.cell != y.cell")
+        near, far = self.bounds("x", "y")
+        return met.where(near <= self.eps).select(F.col("x.cell").alias("x"), F.col("y.cell").alias("y"), (far <= self.eps).alias("whole"), *[F.col(f"y.{m}").alias(m) for m in more])
+
+
+def _core(points: DataFrame, cells: DataFrame, space: _Space, least: int) -> DataFrame:
+    """The points, with `core`."""
+    near = stored(space.around(cells, cells, "n"), "dbscan-around")
+    # cells that have too few points themselves, with what cells within eps as a whole add, and what others may add at most
+    sums = near.groupBy("x").agg(F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("sure"), F.sum(F.when(F.col("whole"), 0).otherwise(F.col("n"))).alias("maybe"))
+    known = cells.join(sums, cells["cell"] == sums["x"], "left").select("cell", (F.col("n") + F.coalesce("sure", F.lit(0))).alias("sure"), F.coalesce("maybe", F.lit(0)).alias("maybe"))
+    known = known.withColumn("core", F.when(F.col("sure") >= least, True).when(F.col("sure") + F.col("maybe") < least, False))
+    points = stored(points.join(known.select("cell", "sure", "core"), "cell"), "dbscan-known")
+    open_cells = near.where("not whole").join(known.where("core is null").select(F.col("cell").alias("x")), "x", "left_semi").select("x", "y")
+    asks = points.where("core is null").join(open_cells, F.col("cell") == F.col("x")).select("id", "y", "sure", *space.x)
+    met = asks.alias("a").join(points.alias("b"), F.col("a.y") == F.col("b.cell")).where(space.away("a", "b") <= space.eps)
+    more = met.groupBy("a.id").agg((F.count("*") + F.first("a.sure")).alias("total")).where(F.col("total") >= least).select("id", F.lit(True).alias("_more"))
+    return stored(points.join(more, "id", "left").select("id", "cell", *space.x, F.coalesce("core", "_more", F.lit(False)).alias("core")), "dbscan-points-core")
+
+
+def _clusters(core: DataFrame, cells: DataFrame, space: _Space) -> DataFrame:
+    """Every cell with core points, with the box of those and `label`, the smallest core id of its cluster."""
+    point = F.struct("id", *space.x)
+    outermost = [f(point, x) for x in space.x for f in (F.min_by, F.max_by)]
+    rows = core.groupBy("cell").agg(F.min("id").alias("lead"), F.array_distinct(F.array(*outermost)).alias("outer"), *space.box())
+    rows = stored(rows.join(cells.select("cell", *space.c), "cell"), "dbscan-core-cells")
+    near = space.around(rows, rows, "lead", "outer").where("x < y").join(rows.select(F.col("cell").alias("x"), F.col("lead").alias("lead_x"), F.col("outer").alias("outer_x")), "x")
+    apart = metric(space.distance)
+    touch = F.exists("outer_x", lambda a: F.exists("outer", lambda b: apart([a[x] for x in space.x], [b[x] for x in space.x]) <= space.eps))
+    near = stored(near.select("x", "y", F.col("lead_x").alias("a"), F.col("lead").alias("b"), (F.col("whole") | touch).alias("sure")), "dbscan-near")
+    found = components(near.where("sure").select("a", "b"))
+    label = stored(rows.join(found, rows["lead"] == found["node"], "left").select("cell", *space.shape(), F.coalesce("label", "lead").alias("label")), "dbscan-cells")
+    side = lambda n: label.select(F.col("cell").alias(n), F.col("label").alias(f"label_{n}"))
+    rest = stored(near.where("not sure").join(side("x"), "x").join(side("y"), "y").where("label_x != label_y").select("x", "y", "label_x", "label_y"), "dbscan-rest")
+    if rest.isEmpty():
+        return label
+    # only core points of x that lie within eps of y's box can have a neighbour there
+    boxes = rows.select("cell", *[f"{n}{i}" for i in range(space.d) for n in "lh"])
+    reach = box_bounds(space.distance, [(F.col(x), F.col(x)) for x in space.x], [(F.col(f"l{i}"), F.col(f"h{i}")) for i in range(space.d)])[0]
+    asks = core.join(rest, F.col("cell") == F.col("x")).drop("cell").join(boxes, F.col("y") == F.col("cell")).where(reach <= space.eps).select("y", "label_x", "label_y", *space.x)
+    links = asks.alias("a").join(core.alias("b"), (F.col("a.y") == F.col("b.cell")) & (space.away("a", "b") <= space.eps), "left_semi").select(F.col("label_x").alias("a"), F.col("label_y").alias("b"))
+    joined = components(links.distinct())
+    moved = label.join(joined.withColumnRenamed("label", "_to"), F.col("label") == F.col("node"), "left")
+    return stored(moved.select("cell", *space.shape(), F.coalesce("_to", "label").alias("label")), "dbscan-label")
+
+
+def _reached(others: DataFrame, core: DataFrame, cells: DataFrame, label: DataFrame, space: _Space) -> DataFrame:
+    """(id, label) of points that aren't core but within eps of a core point: the smallest label among those."""
+    near = stored(space.around(cells.join(others.select("cell"), "cell", "left_semi"), label, "label"), "dbscan-around-core")
+    own = label.select("cell", F.col("label").alias("own"))
+    sure = near.where("whole").groupBy(F.col("x").alias("cell")).agg(F.min("label").alias("sure"))
+    asks = others.join(near.where("not whole"), F.col("cell") == F.col("x")).select("id", "y", "label", *space.x)
+    met = asks.alias("a").join(core.alias("b"), (F.col("a.y") == F.col("b.cell")) & (space.away("a", "b") <= space.eps), "left_semi").groupBy("id").agg(F.min("label").alias("met"))
+    found = others.join(own, "cell", "left").join(sure, "cell", "left").join(met, "id", "left")
+    return found.select("id", F.least("own", "sure", "met").alias("label")).where("label is not null")
+
+
 def fit(points: DataFrame, features: list[str], params: DbscanParams, key: str = "id", debug_path: str | None = None) -> DbscanModel:
-    """Labels every point. With `debug_path`, pairs, core points, and labels before numbering are written below it."""
+    """Labels every point. With `debug_path`, pairs (made for this only), core points, and labels before numbering are written below it."""
     points = stored(points.select(key, *features).dropna(), "dbscan-points")
-    pairs = stored(eps_pairs(points, features, params.eps, key, params.distance), "dbscan-pairs")
-    core = stored(neighbour_counts(points, pairs, key).where(F.col("n") >= params.min_points).select(F.col(key).alias("id")), "dbscan-core")
-    both = pairs.select("a", "b").unionAll(pairs.select("b", "a").toDF("a", "b"))
-    to_core = stored(both.join(core, both["a"] == core["id"], "left_semi"), "dbscan-to-core")  # a is core
-    links = to_core.join(core, to_core["b"] == core["id"], "left_semi")
-    # core points of one small cell are all within eps of each other: the smallest stands for them, which leaves few links
-    side = params.eps * (1 - 1e-9) / {"euclidean": len(features) ** 0.5, "manhattan": len(features), "chebyshev": 1}[params.distance]
-    placed = points.withColumnRenamed(key, "id").join(core, "id").select("id", *[F.floor(F.col(f) / side).alias(f"c{i}") for i, f in enumerate(features)])
-    cells = [f"c{i}" for i in range(len(features))]
-    rep = stored(placed.join(placed.groupBy(*cells).agg(F.min("id").alias("rep")), cells).select("id", "rep"), "dbscan-rep")
-    few = links.join(rep.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
-    joined = components(few.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    label = rep.join(joined, rep["rep"] == joined["node"], "left").select("id", F.coalesce("label", "rep").alias("label"))
-    label = stored(label, "dbscan-label")
-    for name, frame in (("pairs", pairs), ("core", core), ("core_labels", label)):
+    if debug_path:
+        debug_dump(eps_pairs(points, features, params.eps, key, params.distance), debug_path, "pairs")
+    space = _Space(len(features), params.eps, params.distance)
+    placed = points.select(F.col(key).alias("id"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, space.x, strict=True)])
+    placed = placed.select("*", *[space.cell(F.col(x)).alias(c) for x, c in zip(space.x, space.c, strict=True)])
+    cells = stored(placed.groupBy(*space.c).agg(F.min("id").alias("cell"), F.count("*").alias("n"), *space.box()), "dbscan-cells-all")
+    placed = placed.join(cells.select(*space.c, "cell"), space.c).select("id", "cell", *space.x)
+    placed = _core(placed, cells, space, params.min_points)
+    core = placed.where("core")
+    label = _clusters(core, cells, space)
+    labels = core.join(label, "cell").select("id", "label")
+    for name, frame in (("core", core.select("id")), ("core_labels", labels)):
         debug_dump(frame, debug_path, name)
     if not params.border_as_noise:
-        border = to_core.join(core, to_core["b"] == core["id"], "left_anti").join(label, F.col("a") == label["id"]).groupBy(F.col("b").alias("id")).agg(F.min("label").alias("label"))
-        label = label.unionByName(border)
+        labels = labels.unionByName(_reached(placed.where("not core").drop("core"), core, cells, label, space))
     number = running_sum(label.select("label", F.lit(1).alias("one")).distinct(), "label", "one", "before").select("label", (F.col("before") + 1).cast("int").alias("cluster"))
-    label = label.join(number, "label").select(F.col("id").alias(key), "cluster")
-    return DbscanModel(points.join(label, key, "left").withColumn("cluster", F.coalesce("cluster", F.lit(NOISE))), features, params, key)
+    labels = labels.join(number, "label").select(F.col("id").alias(key), "cluster")
+    return DbscanModel(points.join(labels, key, "left").withColumn("cluster", F.coalesce("cluster", F.lit(NOISE))), features, params, key)
+
+

@@ -525,13 +525,12 @@ def pca_projection(spark, d):
 
 @query
 def eps_pairs(spark, d):
-    return rounded(epsjoin.eps_pairs(points(spark, d), RFM, PAIR_EPS), ["dist"])
+    return rounded(epsjoin.eps_pairs(stored(points(spark, d), "points"), RFM, PAIR_EPS), ["dist"])
 
 
 @query
 def dbscan_neighbor_counts(spark, d):
-    at = points(spark, d)
-    return dbscan.neighbour_counts(at, epsjoin.eps_pairs(at, RFM, EPS)).select("id", "n")
+    return epsjoin.neighbour_counts(stored(points(spark, d), "points"), RFM, EPS)
 
 
 def _dbscan(spark: SparkSession, d: str, **more) -> dbscan.DbscanModel:
@@ -577,11 +576,11 @@ def nn_distance(spark, d):
 
 @query
 def nn_histogram(spark, d):
-    found = rounded(epsjoin.nearest_distance(points(spark, d), RFM), ["dist"], 9)
+    found = stored(rounded(epsjoin.nearest_distance(points(spark, d), RFM), ["dist"], 9), "nearest")
     return rounded(stats.histogram(found, "dist", BUCKETS), ["lo", "hi"])
 
 
 @query
 def neighbor_histogram(spark, d):
-    at = points(spark, d)
-    return rounded(stats.histogram(dbscan.neighbour_counts(at, epsjoin.eps_pairs(at, RFM, EPS)), "n", BUCKETS), ["lo", "hi"])
+    near = stored(epsjoin.neighbour_counts(stored(points(spark, d), "points"), RFM, EPS), "neighbours")
+    return rounded(stats.histogram(near, "n", BUCKETS), ["lo", "hi"])

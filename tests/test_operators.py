@@ -2,6 +2,7 @@ import math
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,7 @@ from quernel.functions import stats
 from quernel.functions.distance import metric
 from quernel.functions.ranks import running_sum
 from quernel.operators import dbscan, eda, epsjoin, features, kmeans, plotdata, summary
+from quernel.operators import components as components_module
 from quernel.operators.components import components
 from quernel.sources import files, sinks
 
@@ -82,8 +84,8 @@ def test_nearest_distance(spark):
     assert [r.dist for r in epsjoin.nearest_distance(points(spark, [(1, 1), (1, 1)]), ["x", "y"]).collect()] == [0.0, 0.0]
 
 
-def brute_dbscan(rows, eps, least, border_as_noise=False):
-    near = [[j for j in range(len(rows)) if math.dist(rows[i], rows[j]) <= eps] for i in range(len(rows))]
+def brute_dbscan(rows, eps, least, border_as_noise=False, how=math.dist):
+    near = [[j for j in range(len(rows)) if how(rows[i], rows[j]) <= eps] for i in range(len(rows))]
     core = [len(n) >= least for n in near]
     label = {}
     for i in range(len(rows)):
@@ -104,7 +106,9 @@ def brute_dbscan(rows, eps, least, border_as_noise=False):
 
 
 @pytest.mark.parametrize("border", [False, True])
-def test_dbscan_is_brute_force(spark, border):
+@pytest.mark.parametrize("in_task", [0, 1 << 20])
+def test_dbscan_is_brute_force(spark, border, in_task, monkeypatch):
+    monkeypatch.setattr("quernel.operators.components.IN_TASK", in_task)
     r = random.Random(4)
     rows = [(r.gauss(c, 0.4), r.gauss(c, 0.4)) for c in (0, 3) for _ in range(30)] + [(r.uniform(-4, 8), r.uniform(-4, 8)) for _ in range(20)]
     model = dbscan.fit(points(spark, rows), ["x", "y"], dbscan.DbscanParams(0.5, 4, border_as_noise=border))
@@ -112,6 +116,64 @@ def test_dbscan_is_brute_force(spark, border):
     assert model.noise().count() + model.clustered().count() == len(rows)
 
 
+@pytest.mark.parametrize("name", ["manhattan", "chebyshev", "canberra"])
+def test_dbscan_by_other_distances(spark, name):
+    how = {"manhattan": lambda a, b: sum(map(abs, np.subtract(a, b))), "chebyshev": lambda a, b: max(map(abs, np.subtract(a, b))), "canberra": lambda a, b: sum(abs(x - y) / (abs(x) + abs(y)) if x or y else 0 for x, y in zip(a, b, strict=True))}[name]
+    r = random.Random(6)
+    rows = [(r.gauss(c, 0.5), r.gauss(-c, 0.5)) for c in (1, 4) for _ in range(30)] + [(r.uniform(-4, 8), r.choice([0, 1])) for _ in range(30)]
+    eps = 0.4 if name == "canberra" else 0.6
+    model = dbscan.fit(points(spark, rows), ["x", "y"], dbscan.DbscanParams(eps, 4, distance=name))
+    assert {x.id: x.cluster for x in model.labelled.collect()} == brute_dbscan(rows, eps, 4, how=how)
+    near = {x.id: x.n for x in epsjoin.neighbour_counts(points(spark, rows), ["x", "y"], eps, distance=name).collect()}
+    assert near == {i: sum(how(a, b) <= eps for b in rows) for i, a in enumerate(rows)}
+    far = {x.id: x.dist for x in epsjoin.nearest_distance(points(spark, rows), ["x", "y"], distance=name).collect()}
+    assert far == pytest.approx({i: min(how(a, b) for j, b in enumerate(rows) if i != j) for i, a in enumerate(rows)})
+
+
+def test_dense_points_are_stored_once(spark, monkeypatch):
+    """20,000 points in one cell, and a ring of others around: what is written stays in proportion to the points."""
+    written = []
+    store = dbscan.stored
+
+    def watched(df, name):
+        out = store(df, name)
+        written.append((name, out.count()))
+        return out
+
+    for module in (dbscan, components_module):
+        monkeypatch.setattr(module, "stored", watched)
+    r = random.Random(5)
+    rows = [(r.uniform(0, 0.5), r.uniform(0, 0.5)) for _ in range(20_000)] + [(2 * math.cos(a), 2 * math.sin(a)) for a in range(60)]
+    model = dbscan.fit(points(spark, rows), ["x", "y"], dbscan.DbscanParams(1.0, 5))
+    got = {x.id: x.cluster for x in model.labelled.collect()}
+    assert len({got[i] for i in range(20_000)}) == 1 and got[0] == 1 and max(n for _, n in written) <= 20_060, written
+    assert [got[i] for i in range(20_000, 20_060)] == [brute_dbscan(rows[::200] + rows[20_000:], 1.0, 5)[i] for i in range(100, 160)]
+
+
+def test_cells_that_only_points_can_link(spark):
+    """Boxes that overlap within eps, and outermost points that are apart: points decide."""
+    ring = [(0.35 * math.cos(a / 10), 0.35 * math.sin(a / 10)) for a in range(63)]
+    rows = ring + [(x + 0.9, y + 0.1) for x, y in ring] + [(x + 0.1, y + 2.4) for x, y in ring] + [(1.2, 1.2)]
+    for eps in (0.3, 0.55, 0.7):
+        model = dbscan.fit(points(spark, rows), ["x", "y"], dbscan.DbscanParams(eps, 3))
+        assert {x.id: x.cluster for x in model.labelled.collect()} == brute_dbscan(rows, eps, 3)
+
+
+def test_nearest_distances_over_many_leaves(spark, monkeypatch):
+    """Skewed places, an outlier that stretches every axis, and copies; also with a tree that saw next to nothing."""
+    r = random.Random(8)
+    rows = [(r.lognormvariate(0, 2), r.lognormvariate(0, 2)) for _ in range(1500)] + [(1e9, -1e9), (1e9 + 1, 1e9)]
+    rows += rows[:20]
+    x = np.array(rows)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(far, np.inf)
+    monkeypatch.setattr(epsjoin, "LEAF", 16)
+    for sampled in (64, 1):
+        monkeypatch.setattr(epsjoin, "SAMPLED", sampled)
+        got = {g.id: g.dist for g in epsjoin.nearest_distance(points(spark, rows).repartition(5), ["x", "y"]).collect()}
+        assert got == pytest.approx(dict(enumerate(far.min(axis=1))))
+
+
 def test_shared_border_point_does_not_merge(spark):
     rows = [(x, 0.0) for x in (0.0, 0.1, 0.2, 0.3, 1.2, 2.1, 2.2, 2.3, 2.4)]
     labels = {r.id: r.cluster for r in dbscan.fit(points(spark, rows), ["x", "y"], dbscan.DbscanParams(0.9, 4)).labelled.collect()}
@@ -151,9 +213,11 @@ def test_kmeans_keeps_empty_clusters_and_checks_k(spark):
         kmeans.fit(df, ["x", "y"], 4)
 
 
+@pytest.mark.parametrize("in_task", [0, 1 << 20])
 @FEW
-@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), max_size=30))
-def test_components(spark, edges):
+@given(edges=st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), max_size=30))
+def test_components(spark, monkeypatch, in_task, edges):
+    monkeypatch.setattr("quernel.operators.components.IN_TASK", in_task)
     label = {n: n for e in edges if e[0] != e[1] for n in e}
     for _ in label:
         for a, b in edges:
@@ -163,7 +227,9 @@ def test_components(spark, edges):
     assert got == label
 
 
-def test_long_path_is_one_component(spark):
+@pytest.mark.parametrize("in_task", [0, 20, 1 << 20])
+def test_long_path_is_one_component(spark, monkeypatch, in_task):
+    monkeypatch.setattr("quernel.operators.components.IN_TASK", in_task)
     got = components(spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     assert got.agg(F.max("label"), F.count("*")).first()[:] == (0, 201)
 
