@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import giving_way, in_small_batches, slices
+from .common import giving_way, slices
 
 #: The split pattern of byte-level BPE vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -265,7 +265,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[*batch.schema.names, ids])
         bpe.rest()
 
-    return in_small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -275,11 +275,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            found = [bpe.decode(x or ()).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, text])
+        for whole in batches:
+            for batch in slices(whole, ids):
+                found = [bpe.decode(x or ()).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, text])
 
-    return in_small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -305,4 +306,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         bpe.rest()
 
-    return in_small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)

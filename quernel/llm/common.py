@@ -9,19 +9,7 @@ from pyspark.sql import DataFrame
 from quernel.plans.lineage import remove, scratch, shared_dir, stored
 from quernel.sources.tables import table
 
-__all__ = ["as_bytes", "giving_way", "in_small_batches", "remove", "scratch", "shared_dir", "slices", "stored", "table"]
-
-
-#: Rows of an Arrow batch. Texts are long: with Spark's 10,000 rows a batch takes tens of megabytes on either side.
-BATCH_ROWS = 1000
-
-
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """The frame itself; its session hands texts to Python in batches of BATCH_ROWS, unless it was set otherwise."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df
+__all__ = ["as_bytes", "giving_way", "remove", "scratch", "shared_dir", "slices", "stored", "table"]
 
 
 def giving_way(df: DataFrame, names: list[str], *needed: str) -> DataFrame:
@@ -40,10 +28,12 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, text: str, budget: int = 4 << 20):
-    """Parts of a batch of at most about `budget` bytes of text each, so that long texts don't pile up in a worker."""
-    column = batch.column(text)
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+def slices(batch: pa.RecordBatch, name: str, budget: int = 4 << 20):
+    """Parts of a batch of at most about `budget` bytes of the named texts or lists each, so that long ones don't pile up in a
+    worker; a list's entry counts as much as the Python number that is made of it."""
+    column = batch.column(name)
+    lists = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
+    sizes = pc.fill_null(pc.multiply(pc.list_value_length(column), 36) if lists else pc.binary_length(column), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > budget:
@@ -52,5 +42,3 @@ def slices(batch: pa.RecordBatch, text: str, budget: int = 4 << 20):
         total += n
     if start < len(sizes):
         yield batch.slice(start)
-
-

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from quernel.operators.components import components
 
-from .common import as_bytes, in_small_batches, slices, stored
+from .common import as_bytes, slices, stored
 
 #: Bits of a minimum, places of a chunk, and the chance that a link at the very threshold stays outside the distance.
 BITS, CHUNK, MISS = 16, 4, 1e-7
@@ -185,7 +185,7 @@ def classes(df: DataFrame, key: str, text: str, shingle: int, hashes: int) -> Da
                 sigs = [signature(s, hashes).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "mark", "n_shingles", "digest", "sig"])
 
-    return in_small_batches(df).select(key, text, _mark(text).alias("_mark")).mapInArrow(run, "id long, mark binary, n_shingles long, digest binary, sig binary")
+    return df.select(key, text, _mark(text).alias("_mark")).mapInArrow(run, "id long, mark binary, n_shingles long, digest binary, sig binary")
 
 
 def _within(hashes: int):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, giving_way, in_small_batches, slices
+from .common import as_bytes, giving_way, slices
 from .gbdt import Trees, train
 from .labelled import LABELLED, held_out, training
 
@@ -66,7 +66,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
                 rows = [statistics(x).tobytes() for x in as_bytes(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(rows, pa.binary()), batch.column("y")], names=["id", "x", "y"])
 
-    rows = in_small_batches(training(docs, labels, label, key, text, limit)).mapInArrow(run, "id long, x binary, y int").collect()
+    rows = training(docs, labels, label, key, text, limit).mapInArrow(run, "id long, x binary, y int").collect()
     rows = sorted(rows, key=lambda r: (r["id"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"]) for r in rows]).reshape(-1, N_FEATURES)
     return train(x, np.array([r["y"] for r in rows], float))
@@ -84,7 +84,7 @@ def scored(df: DataFrame, model: Trees, text: str = "text", score: str = "score"
                 x = np.array([statistics(t) for t in as_bytes(batch.column(text))]).reshape(-1, N_FEATURES)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(model.score(x), pa.float64())], names=schema.names)
 
-    return in_small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import giving_way, in_small_batches, slices
+from .common import giving_way, slices
 from .labelled import LABELLED, held_out, training
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -149,7 +149,7 @@ def lexicon(rows: DataFrame) -> dict[str, int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", limit: int = LABELLED) -> Model:
-    rows = in_small_batches(training(docs, labels, label, key, text, limit))
+    rows = training(docs, labels, label, key, text, limit)
     chosen = lexicon(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score"
                 p = 1 / (1 + np.exp(-np.clip(votes @ model.weights + model.bias, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p, pa.float64())], names=schema.names)
 
-    return in_small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

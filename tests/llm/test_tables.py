@@ -177,7 +177,41 @@ def test_hits_are_brute_force(spark):
 
 
 def test_wu_manber_jumps():
-    search = decontaminate.WuManber(4)
-    search.add(tuple(b"abcd"), "x")
-    assert search.shift[tuple(b"cd")] == 0 and search.shift[tuple(b"ab")] == 2
-    assert list(search.search(list(b"zzabcdabcd"))) == [(2, {"x"}), (6, {"x"})]
+    bench = decontaminate.Benchmark([("x", "a b c d")], 4)
+    (search,) = bench.tables
+    text = decontaminate.Words(b"z z a b c d a b c d")
+    jumps = search.jump(decontaminate._blocks(text.hash, 2)[2:]).tolist()
+    assert jumps == [3, 3, 2, 1, 0, 3, 2, 1, 0]
+    assert [x.tolist() for x in search.search([text])] == [[0, 0], [2, 6], [0, 0]]
+    assert bench.search([text, decontaminate.Words(b"A-b--C!d"), decontaminate.Words(b"")]) == [([2, 10], ["x"]), ([0, 4], ["x"]), ([], [])]
+
+
+def test_words_of_long_texts(monkeypatch):
+    """Words keep their hash wherever pieces begin, and a word may be longer than a piece."""
+    whole = decontaminate.Words(b"ab cd " * 50 + b"x" * 300 + b" ab \xc3\xa9")
+    monkeypatch.setattr(decontaminate, "PIECE", 64)
+    monkeypatch.setattr(decontaminate, "_POWERS", [])
+    pieces = decontaminate.Words(b"ab cd " * 50 + b"x" * 300 + b" ab \xc3\xa9")
+    assert len(whole) == len(pieces) == 103 and whole.start.tolist() == pieces.start.tolist() and whole.end.tolist() == pieces.end.tolist()
+    same = whole.hash == pieces.hash
+    assert same.sum() == 102 and not same[100] and len(set(whole.hash.tolist())) == 4 and pieces.shown(100, 1) == b"x" * 300
+
+
+def test_a_large_benchmark_goes_in_passes(spark, monkeypatch):
+    """Passes are jobs of their own: a plan never holds more than one search, nor a pass more than its share of the items."""
+    held, one = [], decontaminate._pass
+
+    def watched(df, items, *more):
+        held.append(len(items))
+        out = one(df, items, *more)
+        assert str(out._jdf.queryExecution().toString()).split("== Physical Plan ==")[1].count("MapInArrow") == 1
+        return out
+
+    monkeypatch.setattr(decontaminate, "_pass", watched)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(60)]
+    docs = [(i, "a b " + " ".join(f"w{i}x{j}" for j in range(15)) + " c " + " ".join(f"w{i + 1}x{j}" for j in range(13))) for i in range(50)] + [(0, "a b c"), (None, None)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), pattern_bytes=sum(len(t) for _, t in items) // 12 + 1)
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert len(held) == 12 and sum(held) == 60 and max(held) < 20 and plan.count("MapInArrow") == 1
+    rows = sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(r.hit_spans), tuple(r.item_ids)) for r in got.collect())
+    assert rows == sorted([(str(i), 31, 28, (2, 17, 18, 31), tuple(sorted([str(i), str(i + 1)]))) for i in range(50)] + [("0", 3, 0, (), ()), ("None", 0, 0, (), ())])
