@@ -73,16 +73,17 @@ class Words:
 
     def __init__(self, text: bytes):
         self.data = data = text.translate(WORD_BYTES)
+        place = np.int32 if len(data) < 1 << 31 else np.int64
         parts, at = [], 0
         while at < len(data):
             to = len(data)
             if to - at > PIECE:  # up to the last word that ends in the piece; a longer word is a piece of its own
                 to = data.rfind(b" ", at, at + PIECE) + 1 or data.find(b" ", at + PIECE) + 1 or to
             h, s, e = _hashed(data[at:to])
-            parts.append((h, s + at, e + at))
+            parts.append((h, (s + at).astype(place), (e + at).astype(place)))
             at = to
-        none = np.zeros(0, np.int64)
-        self.hash, self.start, self.end = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none.astype(np.uint64), none, none)
+        kinds = (np.uint64, place, place)
+        self.hash, self.start, self.end = (np.concatenate([np.zeros(0, k), *x], dtype=k, casting="unsafe") for k, x in zip(kinds, zip(*parts, strict=True) if parts else ((),) * 3, strict=True))
 
     def __len__(self) -> int:
         return len(self.hash)
