@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, neardup, pii, quality, secrets, tokencounts, topk, toxicity, warc
-from .common import scratch, table
+from .common import scratch, stored, table
 
 
 def tokenizer_path() -> str:
@@ -27,18 +27,22 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tokenizer versions come in as a batch each; the first is delivered twice, which changes nothing. The second comes
-    with the first's counts, which a batch revises; then all documents of the first are deleted and inserted again."""
+    """The texts are counted once, by three tokenizer versions. One comes in as a batch that is delivered twice, which changes
+    nothing; another comes in with the counts of the byte-level BPE, which a batch revises; the BPE's own version comes and is
+    deleted; all documents of the first are deleted and inserted again. Two compactions lie between."""
     docs, rollup = table(spark, sf_dir, "documents"), tokencounts.Rollup(spark, scratch(spark, "token-counts"))
+    counts = stored(tokencounts.all_counts(docs, tokenizer_path()), "token-counts-rows")
     first, second = tokencounts.TOKENIZERS
-    loaded = tokencounts.counted(docs, first)
-    rollup.commit(f"load-{first}", tokencounts.inserts(loaded))
-    rollup.commit(f"load-{second}", tokencounts.inserts(loaded.withColumn("tokenizer", F.lit(second))))
-    rollup.commit(f"load-{first}", tokencounts.inserts(loaded))
+    words, pieces, units = tokencounts.rows(counts, first, first), tokencounts.rows(counts, second, second, tokencounts.BPE), tokencounts.rows(counts, tokencounts.BPE, tokencounts.BPE)
+    rollup.commit(f"load-{first}", tokencounts.inserts(words))
+    rollup.commit(f"load-{second}", tokencounts.inserts(pieces.withColumn("n_tokens", F.col("old_tokens"))))
+    rollup.commit(f"load-{tokencounts.BPE}", tokencounts.inserts(units))
+    rollup.commit(f"load-{first}", tokencounts.inserts(words))
     rollup.compact()
-    rollup.commit(f"revise-{second}", tokencounts.revisions(tokencounts.recounted(docs, second, first)))
-    rollup.commit(f"delete-{first}", tokencounts.deletes(loaded))
-    rollup.commit(f"again-{first}", tokencounts.inserts(loaded))
+    rollup.commit(f"revise-{second}", tokencounts.revisions(pieces))
+    rollup.commit(f"delete-{first}", tokencounts.deletes(words))
+    rollup.commit(f"delete-{tokencounts.BPE}", tokencounts.deletes(units))
+    rollup.commit(f"again-{first}", tokencounts.inserts(words))
     rollup.compact()
     return rollup.totals()
 
