@@ -7,10 +7,14 @@ shards, where a task hands on the k-th scores from one shard to the next. Inside
 best-first: nodes are opened in the order of the highest score that any point of their box can have with the query, and
 the search ends when no box left can beat the k-th score (or, at an equal score, the k-th id).
 
-Edge cases. Vectors that are null, empty, hold nulls, NaN or infinities, or whose scaled components don't fit a
-long, take no part; a score among the best that doesn't fit one is an error; nor do rows with a null id. Rows that repeat an id count as one vector, the smallest of those given.
-Vectors meet only vectors of their own dimension. Ties go to the smaller id. Fewer than k candidates give fewer rows;
-empty tables give no rows. Extra columns are ignored.
+A shard's tree travels once for each lane of LANE blocks, ahead of the lane's blocks, and is unpacked once for them. Numbers travel in
+the smallest type that holds them. Scores are computed in double precision where the dimension and the largest components of
+tree and queries keep every sum below 2**53, else in unbounded integers.
+
+Edge cases. Vectors that are null, hold nulls, NaN or infinities, or whose scaled components don't fit a long, take no part; nor
+do rows with a null id. A score among the best that doesn't fit a long is an error. Rows that repeat an id count as one vector, the
+smallest of those given. Vectors meet only vectors of their own dimension; empty ones have the score 0. Ties go to the smaller
+id. Fewer than k candidates give fewer rows; empty tables give no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,17 +25,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Vectors of a shard, of a leaf, and of a block of queries.
-SHARD, LEAF, QUERIES = 8192, 512, 512
+from .common import stored
+
+#: Least and most vectors of a shard, the shards that a search would like to have, vectors of a leaf and of a block of queries.
+LEAST_SHARD, MOST_SHARD, SHARDS, LEAF, QUERIES = 8192, 65536, 64, 512, 512
+#: Blocks that a tree serves each time it travels.
+LANE = 256
 K, SCALE = 20, 64
 #: Query blocks whose k-th scores a task remembers for its next shard.
 REMEMBERED = 4096
 
 
+def smallest(x: np.ndarray) -> str:
+    """The smallest type that holds these integers."""
+    most = max(-int(x.min()) - 1, int(x.max())) if x.size else 0
+    return next(t for t, limit in (("<i1", 1 << 7), ("<i2", 1 << 15), ("<i4", 1 << 31), ("<i8", 1 << 63)) if most < limit)
+
+
 class KdTree:
     """Ids and integer vectors, ordered so that each node is a range of rows. Nodes are in arrays, children of i at left[i] and left[i] + 1."""
 
@@ -67,7 +80,7 @@ class KdTree:
     def pack(self) -> bytes:
         nodes = np.array([self.start, self.end, self.left], "<i8")
         head = np.array([*self.x.shape, nodes.shape[1]], "<i8")
-        small = "<i1" if not self.x.size or max(-int(self.x.min()) - 1, int(self.x.max())) < 128 else "<i8"
+        small = smallest(self.x)
         return b"".join([head.tobytes(), bytes(small[1:], "ascii"), nodes.tobytes(), self.least.astype("<i8").tobytes(), self.ids.astype("<i8").tobytes(), *(v.astype(small).tobytes() for v in (self.low, self.high, self.x))])
 
     @classmethod
@@ -141,29 +154,35 @@ def scaled(vector: Column, scale: int = SCALE) -> Column:
     x = vector.cast("array<double>")
     limit = 2.0**63
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < limit))
-    return F.when(vector.isNotNull() & (F.size(x) > 0) & fine, F.transform(x, lambda v: F.floor(v * scale)))
+    return F.when(vector.isNotNull() & fine, F.transform(x, lambda v: F.floor(v * scale)))
 
 
-def _search(pairs: DataFrame, k: int) -> DataFrame:
-    """Rows of (block, seed, queries, tree) to rows of (query_id, vec_id, score)."""
+def _search(asked: DataFrame, trees: DataFrame, lanes: Column, k: int) -> DataFrame:
+    """Rows of (block, d, shard, ids, vectors, kth) to rows of (query_id, vec_id, score). Each tree goes ahead of the blocks of its lane."""
+    blocks = asked.select("d", "shard", F.floor(F.col("block") / LANE).alias("lane"), "block", "ids", "vectors", "kth", F.lit(None).cast("binary").alias("tree"))
+    none = F.lit(None).cast("binary")
+    ahead = trees.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), lanes - 1))).select("d", "shard", "lane", F.lit(-1).cast("long").alias("block"), none.alias("ids"), none.alias("vectors"), none.alias("kth"), "tree")
+    met = blocks.unionByName(ahead).repartition("d", "shard", "lane").sortWithinPartitions("d", "lane", "shard", "block")
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict = OrderedDict()
-        name, tree = None, None
+        tree = None
         for batch in batches:
             for r in range(batch.num_rows):
-                block, shard = batch.column("block")[r].as_py(), (batch.column("d")[r].as_py(), batch.column("shard")[r].as_py())
-                if shard != name:
-                    name, tree = shard, KdTree.unpack(batch.column("tree")[r].as_py())
+                d, block = batch.column("d")[r].as_py(), batch.column("block")[r].as_py()
+                if block < 0:
+                    tree = KdTree.unpack(batch.column("tree")[r].as_py())
+                    continue
                 ids = np.frombuffer(batch.column("ids")[r].as_py(), "<i8")
-                q = np.frombuffer(batch.column("vectors")[r].as_py(), "<i8").reshape(len(ids), -1)
-                kth, kth_id = known.pop(block, (None, None))
-                seed = np.frombuffer(batch.column("kth")[r].as_py() or b"", "<i8").reshape(-1, 2)
+                vectors = batch.column("vectors")[r].as_py()
+                q = np.frombuffer(vectors, "<" + vectors[:2].decode(), offset=2).reshape(len(ids), -1)
+                kth, kth_id = known.pop((d, block), (None, None))
                 if kth is None:
-                    none = np.iinfo(np.int64)
-                    kth, kth_id = (seed[:, 0].copy(), seed[:, 1].copy()) if len(seed) else (np.full(len(ids), none.min), np.full(len(ids), none.max))
+                    seed = np.frombuffer(batch.column("kth")[r].as_py() or b"", "<i8").reshape(-1, 2)
+                    kth, kth_id = (seed[:, 0].copy(), seed[:, 1].copy()) if len(seed) else (np.full(len(ids), low), np.full(len(ids), high))
                 out: list[list[int]] = [[], [], []]
-                for row, best in tree.search(ids, q, k, kth, kth_id):
+                for row, best in tree.search(ids, q.astype(np.int64), k, kth, kth_id):
                     for s, v in best:
                         out[0].append(int(ids[row]))
                         out[1].append(v)
@@ -172,75 +191,73 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
                         s, v = min(best, key=lambda x: (x[0], -x[1]))
                         if s > kth[row] or (s == kth[row] and v < kth_id[row]):
                             kth[row], kth_id[row] = s, v
-                known[block] = kth, kth_id
+                known[d, block] = kth, kth_id
                 if len(known) > REMEMBERED:
                     known.popitem(last=False)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
-    return pairs.select("block", "d", "shard", "ids", "vectors", "kth", "tree").mapInArrow(run, "query_id long, vec_id long, score long")
+    return met.select("d", "block", "ids", "vectors", "kth", "tree").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best candidates of each query, as one sorted array; partial sums keep at most what a task has found."""
-    hits = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("worse"), "vec_id")))
-    return found.groupBy("query_id").agg(F.slice(hits, 1, k).alias("hits"))
+    """The k best candidates of each query, with their rank; each task cuts its own to k first."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE, shard: int | None = None, block: int = QUERIES) -> DataFrame:
     """The k highest scores of each row that `queries` (a condition on vec_id) marks, against every other row:
-    query_id, rank (from 1), vec_id, score."""
-    from .common import stored
-
+    query_id, rank (from 1), vec_id, score. `shard` is the vectors of a shard, by default as their number asks for."""
     # an id that many rows share shrinks to one row before anything is gathered
     one = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), scaled(F.col(vector), scale).alias("x")).where("vec_id is not null and x is not null").groupBy("vec_id").agg(F.min("x").alias("x"))
-    one = stored(one.withColumn("d", F.size("x")), "topk-vectors")
-    counts = {r["d"]: r["n"] for r in one.groupBy("d").agg(F.count("*").alias("n")).collect()}
-    n_shards = F.lit(0)
-    for d, n in counts.items():
-        n_shards = F.when(F.col("d") == d, -(-n // shard)).otherwise(n_shards)
-    one = one.withColumn("shards", n_shards)
+    # an empty vector is a 0 for the trees, and keeps its dimension
+    one = one.select("vec_id", F.size("x").alias("d"), F.when(F.size("x") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("x")).alias("x"))
+    one = stored(one, "topk-vectors")
+
+    def by_dimension(counts: dict[int, int]) -> Column:
+        out = F.lit(1).cast("long")
+        for d, n in counts.items():
+            out = F.when(F.col("d") == d, F.lit(n).cast("long")).otherwise(out)
+        return out
+
+    asked = one.where(queries)
+    sizes = {r["d"]: r["n"] for r in one.groupBy("d").agg(F.count("*").alias("n")).collect()}
+    shards = {d: -(-n // (shard or min(MOST_SHARD, max(LEAST_SHARD, n // SHARDS)))) for d, n in sizes.items()}
+    blocks = {r["d"]: -(-r["n"] // block) for r in asked.groupBy("d").agg(F.count("*").alias("n")).collect()}
+    lanes = by_dimension({d: -(-n // LANE) for d, n in blocks.items()})
+    n_shards, n_blocks = by_dimension(shards), by_dimension(blocks)
 
     def build(key, table):
-        d, s = key[0].as_py(), key[1].as_py()
-        x = np.concatenate([np.asarray(c.flatten()) for c in table.column("x").chunks]).reshape(-1, d)
-        return pa.table({"d": pa.array([d], pa.int32()), "shard": pa.array([s], pa.int64()), "tree": pa.array([KdTree(table.column("vec_id").to_numpy(), x).pack()], pa.binary())})
+        x = np.concatenate([np.asarray(c.flatten()) for c in table.column("x").chunks]).reshape(table.num_rows, -1)
+        packed = KdTree(table.column("vec_id").to_numpy(), x).pack()
+        return pa.table({"d": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int64()), "tree": pa.array([packed], pa.binary())})
 
-    trees = one.withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards")).groupBy("d", "shard").applyInArrow(build, "d int, shard long, tree binary")
+    trees = one.withColumn("shard", F.pmod(F.xxhash64("vec_id"), n_shards)).groupBy("d", "shard").applyInArrow(build, "d int, shard long, tree binary")
     trees = stored(trees, "topk-trees")
 
     def gather(key, table):
-        x = np.concatenate([np.asarray(c.flatten()) for c in table.column("x").chunks]).astype("<i8")
-        row = {"d": pa.array([key[0].as_py()], pa.int32()), "shards": pa.array([table.column("shards")[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int64())}
-        return pa.table(row | {"ids": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary())})
-
-    asked = one.where(queries)
-    totals = {r["d"]: -(-r["n"] // block) for r in asked.groupBy("d").agg(F.count("*").alias("n")).collect()}
-    n_blocks = F.lit(1)
-    for d, n in totals.items():
-        n_blocks = F.when(F.col("d") == d, n).otherwise(n_blocks)
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "vec_id"), n_blocks)).groupBy("d", "block").applyInArrow(gather, "d int, shards long, block long, ids binary, vectors binary")
-    asked = stored(asked.withColumn("home", F.pmod("block", "shards")).withColumn("block", F.struct("d", "block").cast("string")), "topk-queries")
-
-    def met(pairs: DataFrame) -> DataFrame:
-        return pairs.join(trees, ["d", "shard"]).sortWithinPartitions("d", "shard", "block")
-
-    first = _search(met(asked.withColumn("shard", F.col("home")).withColumn("kth", F.lit(None).cast("binary"))), k)
+        x = np.concatenate([np.asarray(c.flatten()) for c in table.column("x").chunks])
+        small = smallest(x)
+        row = {"d": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64())}
+        return pa.table(row | {"ids": pa.array([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([small[1:].encode() + x.astype(small).tobytes()], pa.binary())})
+
+    dealt = F.pmod(F.xxhash64(F.lit(7), "vec_id"), n_blocks)
+    asked = stored(asked.withColumn("block", dealt).groupBy("d", "block").applyInArrow(gather, "d int, block long, ids binary, vectors binary"), "topk-queries")
+    home = F.pmod("block", n_shards)
+    first = _search(asked.withColumn("shard", home).withColumn("kth", F.lit(None).cast("binary")), trees, lanes, k)
     first = stored(_best(first, k), "topk-home")
 
     def seeds(key, table):
-        raw = table.slice(0, 1).to_pylist()[0]
-        at = dict(zip(table.column("query_id").to_pylist(), table.column("last").to_pylist(), strict=True))
+        at = dict(zip(table.column("query_id").to_pylist(), zip(table.column("score").to_pylist(), table.column("vec_id").to_pylist(), strict=True), strict=True))
         none = np.iinfo(np.int64)
-        kth = [[at[i]["score"], at[i]["vec_id"]] if at.get(i) else [none.min, none.max] for i in np.frombuffer(raw["ids"], "<i8").tolist()]
-        return pa.table({"block": pa.array([raw["block"]], pa.string()), "kth": pa.array([np.array(kth, "<i8").tobytes()], pa.binary())})
+        kth = [at[i] if at.get(i, (None,))[0] is not None else (none.min, none.max) for i in np.frombuffer(table.column("ids")[0].as_py(), "<i8").tolist()]
+        return pa.table({"d": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "kth": pa.array([np.array(kth, "<i8").tobytes()], pa.binary())})
 
     # k-th scores of a block's queries, packed like its ids
-    d_block = asked.select("block", "ids")
-    last = first.select("query_id", F.when(F.size("hits") == k, F.struct((-F.element_at("hits", k)["worse"]).alias("score"), F.element_at("hits", k)["vec_id"].alias("vec_id"))).alias("last"))
-    ids_of = one.where(queries).select(F.col("vec_id").alias("query_id"), F.struct("d", F.pmod(F.xxhash64(F.lit(7), "vec_id"), n_blocks).alias("block")).cast("string").alias("block"))
-    kth = ids_of.join(last, "query_id", "left").join(d_block, "block").groupBy("block").applyInArrow(seeds, "block string, kth binary")
-    rest = asked.join(kth, "block").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).where("shard != home")
-    others = _search(met(rest), k)
-    mine = first.select("query_id", F.explode("hits").alias("h")).select("query_id", F.col("h.vec_id").alias("vec_id"), (-F.col("h.worse")).alias("score"))
-    final = _best(mine.unionByName(others), k)
-    return final.select("query_id", F.posexplode("hits").alias("p", "h")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("h.vec_id").alias("vec_id"), (-F.col("h.worse")).alias("score"))
+    last = first.where(F.col("rank") == k).select("query_id", "score", "vec_id")
+    ids_of = one.where(queries).select("d", dealt.alias("block"), F.col("vec_id").alias("query_id"))
+    kth = ids_of.join(last, "query_id", "left").join(asked.select("d", "block", "ids"), ["d", "block"]).groupBy("d", "block").applyInArrow(seeds, "d int, block long, kth binary")
+    rest = asked.join(stored(kth, "topk-kth"), ["d", "block"]).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), n_shards - 1))).where(F.col("shard") != home)
+    others = _search(rest, trees, lanes, k)
+    final = _best(first.select("query_id", "vec_id", "score").unionByName(others), k)
+    return final.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
