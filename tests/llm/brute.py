@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 
@@ -26,6 +27,57 @@ def secrets(text: str | None) -> list[tuple]:
     return sorted(out)
 
 
+WORDS = re.compile(r"example|sample|placeholder|dummy|changeme|x{6}|abcdefgh|01234567", re.I)
+
+
+def hot_runs(value: str, bound: float, window: int = 24) -> list[tuple[int, int]]:
+    """Stretches of overlapping windows whose entropy reaches the bound, each window counted from scratch."""
+    out: list[tuple[int, int]] = []
+    for i in range(len(value) - window + 1):
+        part = value[i : i + window]
+        if sum(-n / window * math.log2(n / window) for n in map(part.count, set(part))) >= bound - 1e-9:
+            if out and i < out[-1][1]:
+                out[-1] = (out[-1][0], i + window)
+            else:
+                out.append((i, i + window))
+    return out
+
+
+def leftovers(value: str) -> list[tuple[int, str]]:
+    """What a candidate's allowed parts leave of it."""
+    if not WORDS.search(value):
+        return [(0, value)]
+    gone = bytearray(len(value))
+    for m in re.finditer("[A-Za-z0-9]+", value):
+        if WORDS.search(m[0]) and 6 * sum(len(w[0]) for w in WORDS.finditer(m[0])) >= len(m[0]):
+            gone[m.start() : m.end()] = b"x" * len(m[0])
+    out = []
+    for m in re.finditer(b"\0+", bytes(gone)):
+        whole = value[m.start() : m.end()]
+        kept = whole.lstrip("+/_=-").rstrip("+/_-")
+        if len(kept) >= 24:
+            out.append((m.start() + len(whole) - len(whole.lstrip("+/_=-")), kept))
+    return out
+
+
+def all_secrets(text: str | None) -> list[tuple]:
+    """Base spans and those of the entropy windows."""
+    t, base = text or "", secrets(text)
+
+    def suspect(start, value):
+        calm = re.fullmatch(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", value) or not re.search("[0-9]", value) or not re.search("[A-Za-z]", value)
+        return not calm and not any(a <= start and b >= start + len(value) for a, _, b, _ in base)
+
+    out = list(base)
+    for kind, name, letters, bound in ((3, "entropy_base64", "A-Za-z0-9+/_=-", 4.0), (4, "entropy_hex", "0-9A-Fa-f", 3.2)):
+        for m in re.finditer(f"[{letters}]+", t):
+            if len(m[0]) >= 24 and suspect(m.start(), m[0]):
+                for at, value in leftovers(m[0]):
+                    if suspect(m.start() + at, value):
+                        out += [(m.start() + at + a, kind, m.start() + at + b, name) for a, b in hot_runs(value, bound)]
+    return sorted(out)
+
+
 def personal(text: str | None) -> list[tuple]:
     t, out = text or "", []
     out += [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
