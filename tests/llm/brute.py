@@ -6,6 +6,8 @@ import hashlib
 import math
 import re
 
+import regex
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -92,6 +94,32 @@ def personal(text: str | None) -> list[tuple]:
     return sorted(out)
 
 
+def remainder97(value: str) -> int:
+    v = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97
+
+
+def all_personal(text: str | None, pii, model) -> list[tuple]:
+    """Base spans, and further candidates that the model's classifier takes, voted on one by one."""
+    t, base = text or "", personal(text)
+    out = list(base)
+    for kind, name in enumerate(pii.KINDS):
+        if name in pii.BASE:
+            continue
+        for m in regex.finditer(pii.KINDS[name], t):
+            v, before, after = m[0], t[max(0, m.start() - pii.CONTEXT) : m.start()], t[m.end() : m.end() + 1]
+            form = bool(regex.search(pii.FORMS[name], v)) and (name != "iban" or remainder97(v) == 1)
+            known = 1 if regex.search(pii.KNOWN[name], v) else 2
+            if name in pii.UNKNOWN and regex.search(pii.UNKNOWN[name], v):
+                known = 0
+            cue = 0 if regex.search(pii.DOUBTS, before.lower()) else 1 if regex.search(pii.CUES, before.lower()) else 2
+            border = 0 if regex.search(r"[\p{L}\p{N}_]$", before) or regex.match(r"[\p{L}\p{N}_]", after) else 2
+            z = model.bias + model.kind_weights[kind] + sum(w[x] for w, x in zip(model.vote_weights, (0 if not form else 2 if name == "name" else 1, known, cue, border), strict=True))
+            if 1 / (1 + math.exp(-z)) >= pii.THRESHOLD:
+                out.append((m.start(), kind, m.end(), name))
+    return sorted(out)
+
+
 def sha(spans: list[tuple]) -> str:
     return hashlib.sha256(",".join(f"{n}:{a}:{b}" for a, _, b, n in spans).encode()).hexdigest()
 
