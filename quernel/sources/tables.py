@@ -24,10 +24,9 @@ def basket_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order headers with a running number, the gap to the order before, and the split: a user's last order is `train`."""
     orders = table(spark, sf_dir, "orders")
     own = Window.partitionBy("user_id").orderBy("day", "order_id")
-    last = Window.partitionBy("user_id").orderBy(F.desc("day"), F.desc("order_id"))
     found = orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("day"))
     return found.select(
-        "order_id", "user_id", F.when(F.row_number().over(last) == 1, "train").otherwise("prior").alias("eval_set"), F.row_number().over(own).cast("bigint").alias("order_number"),
+        "order_id", "user_id", F.when(F.lead("order_id").over(own).isNull(), "train").otherwise("prior").alias("eval_set"), F.row_number().over(own).cast("bigint").alias("order_number"),
         (F.dayofweek("day") - 1).cast("bigint").alias("order_dow"), F.pmod("order_id", F.lit(24)).cast("bigint").alias("order_hour_of_day"), F.date_diff("day", F.lag("day").over(own)).cast("double").alias("days_since_prior_order"),
     )
 

@@ -234,6 +234,20 @@ def test_long_path_is_one_component(spark, monkeypatch, in_task):
     assert got.agg(F.max("label"), F.count("*")).first()[:] == (0, 201)
 
 
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from quernel.plans import lineage
+
+    none = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+    table = lineage.stored(spark.range(3), "t")
+    assert table.count() == 3 and lineage.shared_dir(spark) in table.inputFiles()[0]
+    lineage.remove(spark, table.inputFiles()[0].rpartition("/")[0])
+
+
 def test_running_sum(spark):
     got = running_sum(spark.range(1000), "id", "id", "before").where("before != id * (id - 1) / 2").count()
     assert got == 0
