@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import brute
 import corpus_pipeline
 from quernel.llm import gbdt, quality, toxicity
+from quernel.llm.labelled import training
 from quernel.llm.queries import QUERIES
 from quernel.sources.tables import table
 
@@ -32,6 +33,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(found) > 0.95 and sum(found) > 0.88 * sum(y for y, _, _ in rows)
 
 
+def test_training_rows_are_bounded_however_often_ids_repeat(spark):
+    docs = spark.range(3000).selectExpr("id % 3 + 1 AS doc_id", "concat('t', id % 7) AS text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    rows = training(docs, labels, "quality", "doc_id", "text", 2).collect()
+    again = training(docs.orderBy(F.desc("text")), labels, "quality", "doc_id", "text", 2).collect()
+    assert len(rows) <= 2 and sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    assert 1 <= len(training(docs, labels, "quality", "doc_id", "text").collect()) <= 3
+
+
 @pytest.mark.parametrize("op", [quality, toxicity])
 def test_models_without_labels_or_rows(spark, op):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "words here"), (None, "x"), (3, "words here")], "doc_id long, text string")
