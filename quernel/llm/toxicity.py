@@ -1,19 +1,21 @@
 """Toxicity by weak supervision.
 
-Voters. Lexicon voters are words, and pattern voters are beginnings of words (once, or shared by several words), that
-labelled toxic rows have far more often than others; further pattern voters look at shouting and at how many lexicon words a text has. A voter votes for toxicity
-or abstains; the last one votes against where no lexicon voter speaks.
+Voters. Lexicon voters are words, and beginnings of words (once, or shared by several words), that labelled toxic rows have far more
+often than others. Pattern voters look at shouting, stretched and masked words, words that address the reader, and how many lexicon
+words a text has. A voter speaks or keeps silent; the last one speaks where no lexicon voter does.
 
-Label model. Expectation-maximisation estimates how often each voter speaks in toxic and in other texts; a row's label is
-one more piece of evidence, of fixed weight. Voters that speak together more than their accuracies explain (their residuals correlate) share their weight. Its
-posteriors train a logistic classifier on the votes. Labels also choose the lexicon.
+Label model. A generative model of the hidden truth, the row's label and all voters: how often each speaks in toxic and in other
+texts, and, for voters that speak together more than the truth explains, how often one speaks given that the other does. The
+pairs are a tree, the one that holds the most mutual information given the truth, so the model is exact and each parameter is a share of
+rows. The label is a voter whose reliability is estimated like any other; the labels only say where expectation-maximisation starts,
+and choose the lexicon. A logistic classifier on the votes learns the posteriors.
 
 Learning uses at most LABELLED labelled rows, chosen by a hash of the id; the driver receives their votes and at most
 CANDIDATES candidate terms. Scoring reads every text whole, in one pass without a shuffle.
 
-Edge cases. Null and empty texts have no words and are scored like any text without a voter. Repeated rows are scored each.
-Without labels there are no lexicon voters, and the score is one constant below one half. Extra columns pass through in
-`scored`, one named like the score gives way to it; an empty table gives an empty table.
+Edge cases. Null and empty texts have no words and are scored like any text without a voter; texts of any length are read whole.
+Repeated rows are scored each. Without labels there are no lexicon voters, and the score is one constant below one half. Extra
+columns pass through in `scored`, one named like the score gives way to it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import giving_way, slices
+from .common import giving_way, slices, stored
 from .labelled import LABELLED, held_out, training
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -38,14 +40,19 @@ BEGINNINGS, CANDIDATES, LEXICON = (4, 5, 6, 7), 4000, 240
 #: A term asks for so many different words of the text with its stem.
 LEVELS = (1, 2, 4)
 #: A term enters the lexicon if chance would bring less than about one in so many terms as far from the base rate.
-TRIALS = 1_000_000
+TRIALS = 10_000
 #: Least share of toxic rows among those that have a term of the lexicon.
 PURE = 0.6
-#: How far a label shifts its row's posterior: log odds.
-ANCHOR = 3.0
+#: Nats of mutual information that a pair of voters must share, given the truth, to be a pair of the model; and the votes that each
+#: share of rows begins with, so that none is 0 or 1.
+TOGETHER, SMOOTH = 0.002, 0.5
+#: Words that address the reader, in the languages of the texts.
+YOU = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros os".split())
+STRETCHED = re.compile(r"([^\W\d_])\1\1")
+MASKED = re.compile(r"[^\W\d_][*@#$]+[^\W\d_]")
 WORDS_KEPT = 300_000
 ROUNDS, STEPS = 25, 500
-PATTERNS = 4
+PATTERNS = 9
 
 
 def stems(word: str) -> list[str]:
@@ -64,9 +71,10 @@ class Model:
     terms: dict[str, int]
     weights: np.ndarray
     bias: float
-    #: What the label model holds of each voter: how often it speaks in other and in toxic texts, and its share of weight.
+    #: What the label model holds: the share of rows where each voter speaks, by truth and by what the voter before it in the tree
+    #: does (truth x silent or speaking x voter), and that voter; -1 for none. The label is the last voter.
     rates: np.ndarray
-    share: np.ndarray
+    parent: np.ndarray
 
 
 class Voters:
@@ -96,7 +104,9 @@ class Voters:
                 out[i] = c >= level
         k = self.size
         hits = int(out[:k].sum())
-        out[k:] = [hits >= 2, hits >= 4, text.count("!") * 50 > len(text) > 0, hits == 0]
+        n = len(text)
+        capitals = sum(map(str.isupper, text)) if n < 1 << 16 else sum(len(x) for x in re.findall("[A-Z]+", text))
+        out[k:] = [hits >= 2, hits >= 4, text.count("!") * 50 > n > 0, "!!" in text or "?!" in text, capitals * 4 > n > 0, STRETCHED.search(text) is not None, MASKED.search(text) is not None, len(own & YOU) >= 2, hits == 0]
         return out
 
 
@@ -149,7 +159,11 @@ def lexicon(rows: DataFrame) -> dict[str, int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", limit: int = LABELLED) -> Model:
-    rows = training(docs, labels, label, key, text, limit)
+    return fit_rows(stored(training(docs, labels, label, key, text, limit), "toxicity-rows"))
+
+
+def fit_rows(rows: DataFrame) -> Model:
+    """Learns from rows of _id, text and y, in bounded number."""
     chosen = lexicon(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,25 +180,65 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     return _learn(chosen, votes, np.array([r["y"] for r in seen], float))
 
 
+def _tree(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """For each voter the one before it in the tree of pairs that share the most information given the truth, or -1."""
+    shared = np.zeros((votes.shape[1],) * 2)
+    for weight in (1 - posterior, posterior):
+        total = weight.sum() + 4 * SMOOTH
+        both = (votes * weight[:, None]).T @ votes
+        one = np.diag(both)
+        a, b = one[:, None], one[None, :]
+        cells = {(1, 1): both, (1, 0): a - both, (0, 1): b - both, (0, 0): weight.sum() - a - b + both}
+        for (i, j), n in cells.items():
+            p = (n + SMOOTH) / total
+            side = [(x + 2 * SMOOTH) / total if speaks else 1 - (x + 2 * SMOOTH) / total for x, speaks in ((a, i), (b, j))]
+            shared += total / (len(votes) + 8 * SMOOTH) * p * np.log(p / (side[0] * side[1]))
+    parent = np.full(len(shared), -1)
+    np.fill_diagonal(shared, 0)
+    # Prim's way: always the voter that shares the most with one of the tree; one that shares too little begins a tree of its own
+    best, by = np.full(len(shared), -np.inf), np.full(len(shared), -1)
+    out = np.ones(len(shared), bool)
+    for _ in range(len(shared)):
+        node = int(np.argmax(np.where(out, best, -np.inf))) if (best[out] > TOGETHER).any() else int(np.flatnonzero(out)[0])
+        parent[node] = by[node] if best[node] > TOGETHER else -1
+        out[node] = False
+        more = out & (shared[node] > best)
+        best[more], by[more] = shared[node][more], node
+    return parent
+
+
+def _rates(votes: np.ndarray, before: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """Shares of rows, by truth, where each voter speaks given what the voter before it does; `before` is 0 where there is none."""
+    out = []
+    for weight in (1 - posterior, posterior):
+        n1 = weight @ before
+        k1 = weight @ (votes * before)
+        # what voters do without regard to the one before smooths the shares given it
+        alone = (weight @ votes + SMOOTH) / (weight.sum() + 2 * SMOOTH)
+        out.append([(weight @ votes - k1 + 2 * SMOOTH * alone) / (weight.sum() - n1 + 2 * SMOOTH), (k1 + 2 * SMOOTH * alone) / (n1 + 2 * SMOOTH)])
+    return np.clip(np.array(out), 1e-5, 1 - 1e-5)
+
+
+def posteriors(votes: np.ndarray, parent: np.ndarray, rates: np.ndarray, prior: float) -> np.ndarray:
+    """The chance that each row is toxic, given all votes."""
+    before = np.where(parent >= 0, votes[:, parent], 0.0)
+    likely = [np.where(before > 0, np.where(votes > 0, r[1], 1 - r[1]), np.where(votes > 0, r[0], 1 - r[0])) for r in rates]
+    margin = np.log(prior / (1 - prior)) + (np.log(likely[1]) - np.log(likely[0])).sum(axis=1)
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
+
 def _learn(chosen: dict[str, int], votes: np.ndarray, y: np.ndarray) -> Model:
     n, width = votes.shape
-    if not n:
-        return Model(chosen, np.zeros(width), -2.0, np.full((2, width), 0.5), np.ones(width))
-    posterior, share = np.clip(y, 0.1, 0.9), np.ones(width)
-    rates = np.full((2, width), 0.5)
+    if not n or not y.any():
+        return Model(chosen, np.zeros(width), -2.0, np.full((2, 2, width + 1), 0.5), np.full(width + 1, -1))
+    posterior = np.clip(y, 0.05, 0.95)
+    seen = np.column_stack([votes, y])
+    parent = _tree(seen, posterior)
+    rates = np.zeros((2, 2, width + 1))
     for _ in range(ROUNDS):
+        rates = _rates(seen, np.where(parent >= 0, seen[:, parent], 0.0), posterior)
         prior = (posterior.sum() + 1) / (n + 2)
-        rates = np.stack([((1 - posterior) @ votes + 0.05) / ((1 - posterior).sum() + 0.1 + 1), (posterior @ votes + 0.05) / (posterior.sum() + 0.1 + 1)])
-        rates = np.clip(rates, 1e-5, 1 - 1e-5)
-        # what the voters' accuracies leave unexplained; voters that repeat each other share one vote
-        rest = votes - np.outer(1 - posterior, rates[0]) - np.outer(posterior, rates[1])
-        norm = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-        together = np.clip(rest.T @ rest / np.outer(norm, norm), 0, 1)
-        together[together < 0.2] = 0
-        share = 1 / np.maximum(together.sum(axis=1), 1)
-        speak, silent = np.log(rates[1] / rates[0]) * share, np.log((1 - rates[1]) / (1 - rates[0])) * share
-        margin = ANCHOR * (2 * y - 1) + np.log(prior / (1 - prior)) + votes @ speak + (1 - votes) @ silent
-        posterior = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        posterior = posteriors(seen, parent, rates, prior)
     weights, bias = np.zeros(width), float(np.log((posterior.mean() + 1e-3) / (1 - posterior.mean() + 1e-3)))
     rate, velocity, slope = 1.0, np.zeros(width), 0.0
     for _ in range(STEPS):
@@ -193,7 +247,7 @@ def _learn(chosen: dict[str, int], votes: np.ndarray, y: np.ndarray) -> Model:
         velocity = 0.9 * velocity - rate * (votes.T @ d + 1e-5 * weights)
         slope = 0.9 * slope - rate * d.sum()
         weights, bias = weights + velocity, bias + float(slope)
-    return Model(chosen, weights, bias, rates, share)
+    return Model(chosen, weights, bias, rates, parent)
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score", keep_text: bool = True) -> DataFrame:

@@ -66,7 +66,7 @@ def test_columns_give_way_to_outputs(spark):
     own = ("Found", "ids", "score", "_text", "row", "candidates", "_m0")
     df = frame(spark, ["x token=abcdefgh1", None]).withColumns({c: F.lit(1) for c in own})
     trees = gbdt.train(np.zeros((0, quality.N_FEATURES)), np.zeros(0))
-    voters = toxicity.Model({}, np.zeros(toxicity.PATTERNS), 0.0, np.zeros((2, 4)), np.zeros(4))
+    voters = toxicity.Model({}, np.zeros(toxicity.PATTERNS), 0.0, np.zeros((2, 2, toxicity.PATTERNS + 1)), np.full(toxicity.PATTERNS + 1, -1))
     for op, out in ((secrets.scan, "found"), (pii.scan, "found"), (lambda d: bpe.encode(d, tokenizer_path()), "ids"), (lambda d: quality.scored(d, trees), "score"), (lambda d: toxicity.scored(d, voters), "score")):
         made = op(df)
         assert made.columns.count(out) == 1 and len(made.collect()) == 2
