@@ -8,9 +8,12 @@
    under some key. No key has a cap: members of a key are dealt into blocks, and blocks meet in pairs of bounded size.
 4. Within a block pair, signatures within the threshold are joined by union-find, and only a spanning forest leaves the
    task. Its components are loose families: all true links lie inside one.
-5. Families are again dealt into block pairs, now with their full shingle sets. Each task counts all intersections
-   exactly, as a product of incidence matrices over the shingles that at least two of its members have, and
-   again only a spanning forest of confirmed links leaves the task. Its components are the result.
+5. In a family of REPRESENTED members or more, each is compared on full sets with a representative, the member that meets the most
+   others in the index. Those linked with it are one component, and are compared with none but those that aren't.
+6. What is left to compare is dealt into block pairs, again with full shingle sets. Sets of a link differ in size by the similarity at
+   most, so a family falls into bands of sizes, and only neighbouring bands meet: very long members don't meet short ones.
+   Each task counts all intersections exactly, as a product of incidence matrices over the shingles that at least two of its
+   members have, and again only a spanning forest of confirmed links leaves the task. Its components are the result.
 
 Nothing about all documents comes to the driver. Groups of copies collapse before anything is dealt.
 
@@ -23,12 +26,12 @@ empty table gives no rows. Extra columns are ignored here; `deduplicated` passes
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +44,8 @@ BITS, CHUNK, MISS = 16, 4, 1e-7
 #: Members of a block of one key; least and most members of a block of a family, and bytes of its sets.
 KEY_BLOCK, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 1024, 128, 1024, 16 << 20
 WORDS_KEPT = 300_000
+#: Members of a family that has a representative, at least.
+REPRESENTED = 64
 
 
 def signature_size(similarity: float) -> int:
@@ -226,6 +231,50 @@ def _similar(num: int, den: int):
     return test
 
 
+def _represented(family: DataFrame, degrees: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, rep): the members of large families that are linked with their representative, and that itself."""
+    large = family.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") >= REPRESENTED).select("label")
+    found = family.select("node", "label").join(large, "label").join(degrees, "node").groupBy("label").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("rep"))
+    found = found.join(sets.select(F.col("node").alias("rep"), F.col("shingles").alias("of_rep")), "rep")
+    asked = family.select("node", "label").join(sets, "node").join(found, "label").select("node", "rep", "shingles", "of_rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, held, rep = [], b"", np.zeros(0, np.uint64)
+            for i in range(batch.num_rows):
+                raw = batch.column("of_rep")[i].as_py()
+                if raw != held:
+                    held, rep = raw, np.frombuffer(raw, "<u8")
+                own = np.frombuffer(batch.column("shingles")[i].as_py(), "<u8")
+                joint = len(np.intersect1d(own, rep, assume_unique=True)) if min(len(own), len(rep)) * den >= max(len(own), len(rep)) * num else 0
+                kept.append(den * joint >= num * (len(own) + len(rep) - joint))
+            yield batch.select(["node", "rep"]).filter(pa.array(kept, pa.bool_()))
+
+    return stored(asked.mapInArrow(run, "node long, rep long"), "neardup-inside")
+
+
+def _left_to_test(family: DataFrame, inside: DataFrame, num: int, den: int) -> DataFrame:
+    """(pair, node): the block pairs that together hold every pair of a family that may be a link, but for those of two members
+    that are linked with the representative."""
+    width = log(den / num) * (1 + 1e-9) if num < den else 1e-9
+    rows = family.select("node", "label", "n", F.floor(F.log(F.col("n").cast("double")) / width).alias("band")).join(inside.select("node", F.lit(True).alias("_in")), "node", "left")
+    rows = rows.withColumn("_in", F.coalesce("_in", F.lit(False)))
+    # a group is two neighbouring bands, or one without neighbours
+    order = Window.partitionBy("label").orderBy("band")
+    bands = rows.groupBy("label", "band").agg(F.count("*").alias("_n")).select("label", "band", (F.lead("band").over(order) == F.col("band") + 1).alias("next"), (F.lag("band").over(order) == F.col("band") - 1).alias("last"))
+    groups = F.array_compact(F.array(F.when(F.col("next"), F.col("band")), F.when(F.col("last"), F.col("band") - 1), F.when(~F.coalesce("next", F.lit(False)) & ~F.coalesce("last", F.lit(False)), F.col("band"))))
+    rows = rows.join(bands.select("label", "band", F.explode(groups).alias("g")), ["label", "band"])
+    sizes = rows.groupBy("label", "g").agg(F.count_if("_in").alias("ins"), F.count_if(~F.col("_in")).alias("outs"), F.max("n").alias("most")).where("outs > 0 and ins + outs > 1")
+    c = F.col("ins") + F.col("outs")
+    block = F.greatest(F.least(F.greatest(c / 16, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK), F.lit(BLOCK_BYTES) / (8 * F.col("most"))), F.lit(1.0))
+    sizes = sizes.select("label", "g", F.ceil(F.col("ins") / block).cast("int").alias("ins"), F.ceil(F.col("outs") / block).cast("int").alias("outs"))
+    # blocks of members outside have numbers from 0, of those inside from -1 down; a pair of blocks has one outside at least
+    rows, h = rows.join(sizes, ["label", "g"]), F.xxhash64("node")
+    rows = rows.withColumn("_mine", F.when(F.col("_in"), -1 - F.pmod(h, F.col("ins"))).otherwise(F.pmod(h, F.col("outs"))).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.when(F.col("_in"), 0).otherwise(-F.col("ins")), F.col("outs") - 1)))
+    return rows.select(F.xxhash64("label", "g", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("pair"), "node")
+
+
 def _linked(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int, null_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """(id, mark, n_shingles, digest, sig) of every row, and (digest, component_id, label) of every class, where label names its
     component. With `null_ids`, rows without an id take part in the links."""
@@ -246,16 +295,13 @@ def _linked(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(sig).reshape(-1)), pa.array(node)], names=["key", "node"])
 
     keys = one.select("node", "sig").mapInArrow(index, "key long, node long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / KEY_BLOCK).alias("blocks"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", "c", F.ceil(F.col("c") / KEY_BLOCK).alias("blocks"))
     members = keys.join(shared, "key")
     members = stored(members, "neardup-members")
     members = members.join(one.select("node", "sig"), "node")
     loose = components(_forests(_paired(members, "key", "blocks", "node").select("pair", "node", "sig"), _within(hashes)))
     family = loose.join(one.select("node", "id", "digest", "n"), "node")
-    sizes = family.groupBy("label").agg(F.count("*").alias("c"), F.max("n").alias("most"))
-    block = F.greatest(F.least(F.greatest(F.col("c") / 16, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK), F.lit(BLOCK_BYTES) / (8 * F.col("most"))), F.lit(1.0))
-    sizes = sizes.select("label", F.ceil(F.col("c") / block).alias("blocks"))
-    family = stored(family.join(sizes, "label"), "neardup-family")
+    family = stored(family, "neardup-family")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(shingle)
@@ -273,8 +319,9 @@ def _linked(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int
         made = made.unionByName(unnamed.join(family.where("id is null").select("node", "digest"), "digest"), allowMissingColumns=True)
     sets = made.groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = stored(sets, "neardup-sets")
-    tested = _paired(family.select("label", "blocks", "node"), "label", "blocks", "node").select("pair", "node").join(sets, "node")
-    links = components(_forests(tested, _similar(num, den)))
+    inside = _represented(family, members.groupBy("node").agg(F.sum("c").alias("met")), sets, num, den)
+    tested = _left_to_test(family, inside, num, den).join(sets, "node")
+    links = components(_forests(tested, _similar(num, den)).unionByName(inside.where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))))
     named = links.join(one.select("node", "id", "digest"), "node")
     lead = named.groupBy("label").agg(F.min("id").alias("component_id"))
     named = named.join(lead, "label").select("digest", "component_id", "label")

@@ -90,14 +90,17 @@ def variants(r, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("size, num", [(3, 85), (5, 80)])
-def test_families_are_brute_force(spark, size, num, monkeypatch):
+@pytest.mark.parametrize("size, num, represented", [(3, 85, 64), (5, 80, 64), (3, 85, 3), (5, 80, 3), (5, 80, 10**9)])
+def test_families_are_brute_force(spark, size, num, represented, monkeypatch):
+    monkeypatch.setattr(neardup, "REPRESENTED", represented)
     monkeypatch.setattr(neardup, "KEY_BLOCK", 16)  # many blocks, as in very large families
     monkeypatch.setattr(neardup, "LEAST_BLOCK", 16)
     r = random.Random(2)
     base = [f"w{i}" for i in range(120)]
     texts = variants(r, base, 150, 12) + variants(r, [f"v{i}" for i in range(40)], 20, 3) + [" ".join(base)] * 5
     texts += ["License text that is shared here", "one two", "one two", "ONE\tTwo", "one", "", "   "] + [f"x{i} y{i} z{i}" for i in range(50)] + [" ".join(base[:60]) + f" q{i} r{i}" for i in range(40)]
+    texts += [" ".join(base[: 60 + 3 * i]) for i in range(20)]  # a chain of growing texts over many bands of sizes
+    texts += [" ".join(f"long{j}" for j in range(20_000)) + e for e in (" a", " b", " c d e")]
     r.shuffle(texts)
     check_groups(spark, list(enumerate(texts)), size, num)
 
@@ -109,6 +112,21 @@ def test_documents_are_brute_force(spark):
     assert all(g.n_shingles == sizes[g.doc_id] for g in got)
 
 
+def test_a_long_member_meets_few(spark, monkeypatch):
+    """Pairs that are dealt: of a large family hardly any, and none of members whose sizes rule a link out."""
+    rows = [(i, 7, 1000) for i in range(3000)] + [(9000, 7, 500_000), (9001, 7, 450_000), (9002, 7, 5)]
+    family = spark.createDataFrame(rows, "node long, label long, n long")
+    inside = spark.createDataFrame([(i, 0) for i in range(2990)], "node long, rep long")
+    dealt = neardup._left_to_test(family, inside, 80, 100)
+    pairs = {}
+    for r in dealt.collect():
+        pairs.setdefault(r.pair, set()).add(r.node)
+    assert sum(map(len, pairs.values())) < 2 * len(rows) and all(len(p & {9000, 9001}) in (0, len(p)) for p in pairs.values())
+    assert any(p >= {9000, 9001} for p in pairs.values()) and not any(9002 in p for p in pairs.values())
+    for out in range(2990, 3000):
+        assert set.union(*(p for p in pairs.values() if out in p)) == set(range(3000))
+
+
 def test_near_duplicates_with_nulls_and_repeats(spark):
     rows = [(1, None), (None, "a b c d"), (2, "a b c d"), (3, "A b C d"), (3, "A b C d"), (4, "x y z w v"), (4, "k l m n o"), (5, "k l m n o"), (6, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
