@@ -47,7 +47,7 @@ NO_NAME = "service|services|support|team|office|center|centre|street|road|avenue
 #: How family names of many languages begin or end: the rule that stands for a list of them.
 FAMILY = r"(?:^|\x20)(?:(?:Mc|Mac|O['’])\p{Lu}\p{Ll}+|(?:Smith|Jones|Brown|Lee|Kim|Chen|Wang|Singh|Khan|Silva|Lopez|Garcia)|\p{Lu}\p{Ll}*(?:son|sen|mann|man|berg|burg|stein|feld|bach|meier|meyer|mayer|maier|bauer|huber|schmidt|schulz|ler|ner|dt|tz|sch|ski|ska|sky|wicz|czyk|ova|ov|eva|ev|in|enko|chuk|vić|ić|escu|ez|es|az|ini|etti|elli|ossi|ucci|ello|ano|ado|eira|oglu|oğlu|opoulos|idis|akis|shvili|yan|ian|eau|ault|ier|ard|et|aka|oto|ura|shi|awa|ada|ama|uchi|wara|ton|ley|ford|wood|field|worth))$"
 CAP = r"(?:Mc|Mac|O['’])?\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
-NAME = rf"(?<![\p{{L}}])(?:(?:{TITLES})\.?(?:\x20{CAP}){{1,3}}|(?:{FIRST_NAMES})(?:\x20{CAP}){{1,2}}|(?<=(?<![\p{{L}}])(?i:{BEFORE})[:,]?[\x20\n]){CAP}(?:\x20{CAP}){{1,2}})(?![\p{{L}}])"
+NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:(?:{TITLES})\.?(?:\x20{CAP}){{1,3}}|(?:{FIRST_NAMES})(?:\x20{CAP}){{1,2}}|(?<=(?<![\p{{L}}])(?i:{BEFORE})[:,]?[\x20\n]){CAP}(?:\x20{CAP}){{1,2}})(?![\p{{L}}])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "name": NAME, "ssn": SSN, "iban": IBAN}
