@@ -5,6 +5,8 @@ Statistics of a frame are one row; they join as a broadcast of one row and never
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,3 +100,24 @@ def normal_quantile(p: Column) -> Column:
     t = F.sqrt(-2 * F.log(tail))
     z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
     return F.when(p < 0.5, -z).otherwise(z)
+
+
+def probability_line(df: DataFrame, column: str, position: str, weight: str) -> DataFrame:
+    """(slope, intercept, r): the line through a probability plot, values against normal quantiles of their positions."""
+    x, y, n = normal_quantile(F.col(position)), F.col(column).cast("double"), F.col(weight).cast("double")
+    sums = df.select(x.alias("x"), y.alias("y"), n.alias("n")).agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * e).alias(a) for a, e in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("xy", F.col("x") * F.col("y")), ("yy", F.col("y") * F.col("y")))])
+    sxx, sxy, syy = (F.col(a) - F.col(b) * F.col(c) / F.col("n") for a, b, c in (("xx", "x", "x"), ("xy", "x", "y"), ("yy", "y", "y")))
+    sums = sums.select("n", "x", "y", sxx.alias("sxx"), sxy.alias("sxy"), syy.alias("syy"))
+    slope = F.try_divide("sxy", "sxx")
+    return sums.select(slope.alias("slope"), ((F.col("y") - slope * F.col("x")) / F.col("n")).alias("intercept"), F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy"))).alias("r"))
+
+
+def density(df: DataFrame, column: str, places: int = 32) -> DataFrame:
+    """(place, density): a Gaussian kernel estimate at evenly spaced places from the least to the largest value; the width follows Scott's
+    rule. A task sums what its own rows add to each place."""
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    row = values.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n"), (F.stddev_samp("v") * F.pow(F.count("*"), F.lit(-0.2))).alias("w")).where("w > 0")
+    at = F.col("a") + (F.col("b") - F.col("a")) * F.col("i") / (places - 1)
+    each = with_row(values, row).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(places - 1)))).withColumn("at", at)
+    z = (F.col("at") - F.col("v")) / F.col("w")
+    return each.groupBy("i").agg(F.first("at").alias("place"), (F.sum(F.exp(-z * z / 2)) / (F.first("n") * F.first("w") * math.sqrt(2 * math.pi))).alias("density")).select("place", "density")

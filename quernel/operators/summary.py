@@ -28,3 +28,13 @@ def relative_importance(df: DataFrame, group: str, features: list[str], digits:
     total = sums.agg(*[(F.sum(f"_s_{f}") / F.sum(f"_n_{f}")).alias(f"_m_{f}") for f in features])
     both = sums.crossJoin(F.broadcast(total))
     return both.select(group, *[F.round(F.col(f"_s_{f}") / F.col(f"_n_{f}") / F.col(f"_m_{f}") - 1, digits).alias(f) for f in features])
+
+
+def boxes(df: DataFrame, group: str, feature: str) -> DataFrame:
+    """The figures of a box plot, a row per group: exact quartiles, whiskers at the outermost values within 1.5 times their distance, and
+    how many values lie beyond."""
+    quartiles = df.groupBy(group).agg(*[F.percentile(feature, F.lit(q)).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    near = F.col(feature).between(F.col("q1") - reach, F.col("q3") + reach)
+    both = df.select(group, feature).join(F.broadcast(quartiles), group)  # a row per cluster
+    return both.groupBy(group).agg(F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"), F.min(F.when(near, F.col(feature))).alias("low"), F.max(F.when(near, F.col(feature))).alias("high"), F.count_if(~near).alias("n_outliers"))

@@ -55,6 +55,21 @@ SQL["rfm_describe"] = f"WITH {_RFM} " + _each(_DESCRIBE.format(g="", d=4, t="rfm
 SQL["rfm_moments"] = f"WITH {_RFM} " + _each("SELECT '{c}' AS feature, round(avg({c}), 6) AS mu, round(stddev_pop({c}), 6) AS sigma, round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis FROM rfm", " UNION ALL ")
 SQL["rfm_qq_ranks"] = f"WITH {_RFM}, v AS (SELECT recency AS value, count(*) AS n FROM rfm GROUP BY 1) SELECT value, n, round((sum(n) OVER (ORDER BY value) - n + (n + 1) / 2.0 - 0.5) / sum(n) OVER (), 6) AS position FROM v"
 
+_Z = "(t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t))"
+SQL["rfm_qq_line"] = f"""WITH {_RFM}, v AS (SELECT recency AS y, count(*) AS n FROM rfm GROUP BY 1),
+p AS (SELECT y, n, round((sum(n) OVER (ORDER BY y) - n + (n + 1) / 2.0 - 0.5) / sum(n) OVER (), 6) AS p FROM v),
+q AS (SELECT y, n, CASE WHEN p < 0.5 THEN -{_Z} ELSE {_Z} END AS x FROM (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM p)),
+s AS (SELECT sum(n) AS n, sum(n * x) AS x, sum(n * y) AS y, sum(n * x * x) AS xx, sum(n * x * y) AS xy, sum(n * y * y) AS yy FROM q),
+c AS (SELECT n, x, y, xx - x * x / n AS sxx, xy - x * y / n AS sxy, yy - y * y / n AS syy FROM s)
+SELECT round(sxy / sxx, 4) AS slope, round((y - sxy / sxx * x) / n, 4) AS intercept, round(sxy / sqrt(sxx * syy), 4) AS r FROM c"""
+SQL["rfm_density"] = f"""WITH {_RFM}, r AS (SELECT min(recency) AS a, max(recency) AS b, count(*) AS n, stddev_samp(recency) * pow(count(*), -0.2) AS w FROM rfm),
+g AS (SELECT a + (b - a) * i / 31 AS place, n, w FROM r, generate_series(0, 31) AS t(i))
+SELECT round(g.place, 6) AS place, round(sum(exp(-((place - recency) / w) * ((place - recency) / w) / 2)) / (any_value(n) * any_value(w) * sqrt(2 * pi())), 6) AS density FROM g, rfm GROUP BY g.place"""
+SQL["points_file"] = f"WITH {_RFM} SELECT recency, CAST(frequency AS DOUBLE) AS frequency, monetary FROM rfm"
+SQL["text_columns_file"] = "SELECT CAST(n_nationkey AS VARCHAR) AS col0, CAST(n_regionkey AS VARCHAR) AS col1 FROM nation"
+SQL["text_as_csv_file"] = "SELECT n_nationkey AS nation, n_regionkey AS region FROM nation"
+SQL["month_files"] = "SELECT strftime(ts, '%Y-%b') AS month, count(*) AS n, round(sum(value), 4) AS sales FROM events WHERE event_type = 'purchase' GROUP BY 1"
+
 
 def _histogram(source: str, column: str, k: int, digits: int) -> str:
     return f"""hv AS (SELECT CAST({column} AS DOUBLE) AS v FROM {source} WHERE {column} IS NOT NULL),
@@ -66,6 +81,7 @@ SELECT bucket, round(a + bucket * w, {digits}) AS lo, round(CASE WHEN bucket = k
 
 SQL["rfm_hist25"] = f"WITH {_RFM}, {_histogram('rfm', 'monetary', 25, 4)}"
 
+SQL["histogram_file"] = f"SELECT lo, hi, n FROM ({SQL['rfm_hist25']})"
 _BOUGHT = """bought AS (
   SELECT DISTINCT event_id, ts AS event_time, event_type, value AS price, user_id, props FROM events
   WHERE contains(event_type, 'purchase') AND user_id IS NOT NULL AND value > 0)"""
@@ -176,6 +192,8 @@ SQL["kmeans_shift"] = f"WITH {_KM} SELECT round(shift, 6) AS shift FROM z"
 SQL["kmeans_wssse"] = f"WITH {_KM} SELECT round(round(sum(dist2), 6), 4) AS wssse FROM a"
 SQL["kmeans_elbow"] = f"WITH RECURSIVE {_POINTS}, {', '.join(_lloyd(k, f'_{k}') for k in ELBOW)} " + " UNION ALL ".join(f"SELECT {k} AS k, round(round(sum(dist2), 6), 4) AS wssse FROM a_{k}" for k in ELBOW)
 SQL["cluster_summary"] = f"WITH {_KM} " + _each(_DESCRIBE.format(g="cluster, ", d=2, t="a", by=" GROUP BY cluster"), " UNION ALL ")
+SQL["cluster_file"] = SQL["cluster_summary"]
+SQL["cluster_boxes"] = f"WITH {_KM}, q AS (SELECT cluster, quantile_cont(monetary, 0.25) AS q1, quantile_cont(monetary, 0.5) AS med, quantile_cont(monetary, 0.75) AS q3 FROM a GROUP BY 1), f AS (SELECT a.cluster, monetary, q1, med, q3, monetary BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS near FROM a JOIN q USING (cluster)) SELECT cluster, round(any_value(q1), 6) AS q1, round(any_value(med), 6) AS median, round(any_value(q3), 6) AS q3, round(min(monetary) FILTER (near), 6) AS low, round(max(monetary) FILTER (near), 6) AS high, count(*) FILTER (NOT near) AS n_outliers FROM f GROUP BY 1"
 _NAMED = f"{_KM}, named AS (SELECT cluster, rfm.* FROM a JOIN rfm ON id = customer_id)"
 SQL["segment_profile"] = f"WITH {_NAMED} SELECT cluster, round(median(recency), 6) AS median_recency, round(median(frequency), 6) AS median_frequency, round(sum(monetary), 4) AS total_monetary, count(*) AS size, round(sum(monetary) / count(*), 0) AS monetary_per_member FROM named GROUP BY 1"
 SQL["relative_importance"] = f"WITH {_NAMED} SELECT cluster, {_each('round(avg({c}) / any_value(m_{c}) - 1, 6) AS {c}')} FROM named, (SELECT {_each('avg({c}) AS m_{c}')} FROM named) GROUP BY 1"

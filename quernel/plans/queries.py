@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from quernel.functions import stats
 from quernel.functions.ranks import running_sum
 from quernel.operators import dbscan, eda, epsjoin, features, kmeans, summary
-from quernel.plans.lineage import stored
-from quernel.sources import tables
+from quernel.plans.lineage import scratch, stored
+from quernel.sources import files, sinks, tables
 from quernel.sources.files import monthly, union_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,11 +137,65 @@ def rfm_qq_ranks(spark, d):
     return ranks.select("value", "n", F.round((F.col("below") + (F.col("n") + 1) / 2 - 0.5) / F.col("t"), 6).alias("position"))
 
 
+@query
+def rfm_qq_line(spark, d):
+    """The fitted line of the probability plot, and how well it fits."""
+    return rounded(stats.probability_line(rfm_qq_ranks(spark, d), "value", "position", "n"), ["slope", "intercept", "r"], 4)
+
+
+@query
+def rfm_density(spark, d):
+    return rounded(stats.density(stored(_retail(spark, d), "rfm"), "recency"), ["place", "density"])
+
+
 @query
 def rfm_hist25(spark, d):
     return rounded(stats.histogram(_retail(spark, d), "monetary", 25), ["lo", "hi"], 4)
 
 
+# files
+
+
+@query
+def points_file(spark, d):
+    """Features as a CSV file with a header, read back as points."""
+    path = scratch(spark, "points")
+    sinks.write_csv(_retail(spark, d).select(*RFM), path)
+    return files.read_points(spark, path).select(*RFM)
+
+
+@query
+def text_columns_file(spark, d):
+    """White-space separated text, read as columns."""
+    path = scratch(spark, "text")
+    sinks.write_lines(tables.table(spark, d, "nation").select(F.concat(F.lit(" "), F.col("n_nationkey"), F.lit("   "), F.col("n_regionkey")).alias("line")), path, "line")
+    return files.read_text_columns(spark, path)
+
+
+@query
+def text_as_csv_file(spark, d):
+    """The same text, turned into CSV and read without a header."""
+    text, csv = scratch(spark, "text"), scratch(spark, "csv")
+    sinks.write_lines(tables.table(spark, d, "nation").select(F.concat_ws("  ", "n_nationkey", "n_regionkey").alias("line")), text, "line")
+    files.text_to_csv(spark, text, csv)
+    return files.read_csv(spark, csv, "nation int, region int", header=False)
+
+
+@query
+def month_files(spark, d):
+    """Purchases as a folder per month, read back as one table."""
+    path = scratch(spark, "months")
+    files.preclean(_events(spark, d), path)
+    return spark.read.parquet(path).groupBy("month").agg(F.count("*").alias("n"), F.round(F.sum("price"), 4).alias("sales"))
+
+
+@query
+def histogram_file(spark, d):
+    path = scratch(spark, "histogram")
+    sinks.write_histogram(rfm_hist25(spark, d), path)
+    return files.read_csv(spark, path, "lo double, hi double, n long", header=False)
+
+
 # events
 
 
@@ -482,6 +536,22 @@ def cluster_summary(spark, d):
     return summary.grouped_describe(model.assign(at), "cluster", RFM)
 
 
+@query
+def cluster_boxes(spark, d):
+    at, model = _model(spark, d)
+    return rounded(summary.boxes(model.assign(at), "cluster", "monetary"), ["q1", "median", "q3", "low", "high"])
+
+
+@query
+def cluster_file(spark, d):
+    """Clusters are written as a file, read back as a clustering result, and described from it."""
+    at, model = _model(spark, d)
+    path = scratch(spark, "clusters")
+    sinks.write_clusters(model.assign(at), path, RFM)
+    back, names = files.read_clusters(spark, path)
+    return summary.grouped_describe(back, "cluster", names)
+
+
 def _named(spark: SparkSession, d: str) -> DataFrame:
     at, model = _model(spark, d)
     return model.assign(at).select(F.col("id").alias("customer_id"), "cluster").join(_retail(spark, d), "customer_id")

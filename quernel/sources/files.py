@@ -23,6 +23,13 @@ def read_points(spark: SparkSession, path: str, header: bool = True) -> DataFram
     return typed.dropna()
 
 
+def read_clusters(spark: SparkSession, path: str, cluster: str = "cluster") -> tuple[DataFrame, list[str]]:
+    """A clustering result as `write_clusters` leaves it: the features as doubles and the cluster as a number; and the features' names."""
+    rows = read_csv(spark, path)
+    features = [c for c in rows.columns if c != "Cluster"]
+    return rows.select(*[F.col(f"`{c}`").try_cast("double").alias(c) for c in features], F.col("Cluster").cast("int").alias(cluster)), features
+
+
 def read_text_columns(spark: SparkSession, path: str) -> DataFrame:
     """White-space separated text to string columns col0, col1, ...; the first line says how many."""
     lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("v")).where("v[0] != ''")
