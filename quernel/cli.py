@@ -10,15 +10,18 @@
 from __future__ import annotations
 
 import argparse
+import json
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions import stats
-from quernel.operators import dbscan, epsjoin, features, kmeans, plotdata, summary
+from quernel.operators import dbscan, epsjoin, features, kmeans, plotdata, summary, svg
+from quernel.plans.lineage import stored
 from quernel.sources import tables
 from quernel.sources.files import read_points
 from quernel.sources.sinks import write_clusters, write_csv, write_histogram, write_lines
@@ -41,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--alg-name", choices=ALGORITHMS, default="kmeans-naive")
     p.add_argument("--dataset", choices=DATASETS, default="onlineretail")
     p.add_argument("--data", help="folder of the tables, for --dataset")
+    p.add_argument("--paths", help="JSON file that names the folder of each dataset, instead of --data")
     p.add_argument("--file", help="CSV of points, instead of a dataset")
     p.add_argument("--numK", type=int, default=4)
     p.add_argument("--epsilon", "--eps", type=float, default=1e-4, help="stopping threshold of k-means, radius of DBSCAN")
@@ -48,7 +52,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--distanceMeasure", default="euclidean")
     p.add_argument("--borderPointsAsNoise", action="store_true")
     p.add_argument("--numBuckets", type=int, default=16)
-    p.add_argument("--make-plot", choices=("true", "false"), default="false", help="write the frame behind the pair plot")
+    p.add_argument("--make-plot", choices=("true", "false"), default="false", help="write the frame behind the pair plot, and the plots as SVG")
     p.add_argument("--elbow", action="store_true", help="write k and squared error for k from 2 to 10")
     p.add_argument("--repeats", type=int, default=10, help="fits for each k of the command `time`")
     p.add_argument("--debugOutput", help="folder for the frames between the steps of DBSCAN")
@@ -61,8 +65,10 @@ def load(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, list
     if args.file:
         found = read_points(spark, args.file)
         return found, [c for c in found.columns if c != "id"]
+    if args.paths:  # read by Spark, so that it may lie in any store
+        args.data = dict(json.loads("\n".join(r[0] for r in spark.read.text(args.paths, wholetext=True).collect()))).get(args.dataset)
     if not args.data:
-        raise SystemExit("--dataset needs --data, the folder of its tables")
+        raise SystemExit("--dataset needs the folder of its tables, by --data or --paths")
     if args.dataset == "onlineretail":
         rfm = features.retail_rfm(tables.retail_lines(spark, args.data)).withColumnRenamed("customer_id", "id")
     elif args.dataset == "multicatshop":
@@ -114,12 +120,20 @@ def main(argv: list[str] | None = None) -> None:
             write_csv(table, f"{args.out}/summary", single=True)
             if args.make_plot == "true":
                 plotdata.pairs(labelled, names).write.mode("overwrite").parquet(f"{args.out}/pairs")
+                for x, y in combinations(names, 2):
+                    svg.save(labelled, svg.scatter(labelled, x, y), f"{args.out}/plots/{x}-{y}")
             if args.elbow:
-                write_csv(plotdata.elbow_line(kmeans.elbow(points, names, range(2, 11), args.epsilon)), f"{args.out}/elbow", single=True)
+                line = stored(plotdata.elbow_line(kmeans.elbow(points, names, range(2, 11), args.epsilon)), "elbow-line")
+                write_csv(line, f"{args.out}/elbow", single=True)
+                if args.make_plot == "true":
+                    svg.save(line, svg.line_chart(line, "squared error by k"), f"{args.out}/plots/elbow")
         return
     found.orderBy("lo").show(args.numBuckets)
     if args.out:
         write_histogram(found, f"{args.out}/histogram")
+        if args.make_plot == "true":
+            shown = found.orderBy("lo").select(F.round("lo", 4).cast("string").alias("label"), F.col("n").alias("height"))
+            svg.save(found, svg.bar_chart(shown, args.command), f"{args.out}/plots/histogram")
 
 
 if __name__ == "__main__":

@@ -324,3 +324,34 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["dbscan", "--file", str(tmp_path / "p.csv"), "--epsilon", "1", "--debugOutput", str(tmp_path / "d")])
     assert spark.read.parquet(str(tmp_path / "d/pairs")).count() > 0
     assert "cluster" in capsys.readouterr().out
+
+
+def test_results_go_to_any_store(spark, tmp_path, capsys):
+    """A store that only Spark's file systems reach; datasets by a file of paths; pictures."""
+    from xml.etree import ElementTree
+
+    from quernel import cli
+
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.any.link./out", f"file://{tmp_path}")
+    out = "viewfs://any/out"
+    sinks.write_csv(spark.createDataFrame([(1, "a")], "x int, y string"), f"{out}/csv", single=True)
+    sinks.write_lines(spark.range(3), f"{out}/lines", "id")
+    assert files.read_csv(spark, f"{out}/csv", "x int, y string").first()[:] == (1, "a") and spark.read.text(f"{out}/lines").count() == 3
+    (tmp_path / "paths.json").write_text('{"onlineretail": "/root/testdata/sf0.001"}')
+    cli.main(["nn-hist", "--dataset", "onlineretail", "--paths", f"{out}/paths.json", "--numBuckets", "4", "--out", f"{out}/result", "--make-plot", "true"])
+    picture = ElementTree.fromstring("".join(r[0] for r in spark.read.text(f"{out}/result/plots/histogram").collect()))
+    assert len(picture.findall("{http://www.w3.org/2000/svg}rect")) == 5
+    with pytest.raises(SystemExit):
+        cli.main(["nn-hist", "--dataset", "instacart", "--paths", f"{out}/paths.json"])
+    capsys.readouterr()
+
+
+def test_pictures():
+    from types import SimpleNamespace
+    from xml.etree import ElementTree
+
+    from quernel.operators import svg
+
+    frame = lambda rows: SimpleNamespace(collect=lambda: rows)
+    for picture in (svg.bar_chart(frame([])), svg.bar_chart(frame([{"label": "<1 & 2", "height": 3}])), svg.line_chart(frame([{"x": 2, "y": 5}, {"x": 3, "y": 5}])), svg.line_chart(frame([]))):
+        assert ElementTree.fromstring(picture).tag.endswith("svg")
