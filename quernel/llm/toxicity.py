@@ -49,7 +49,8 @@ TOGETHER, SMOOTH = 0.002, 0.5
 #: Words that address the reader, in the languages of the texts.
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros os".split())
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
-MASKED = re.compile(r"[^\W\d_][*@#$]+[^\W\d_]")
+MASKED = re.compile(r"(?<=[^\W\d_])[*#$]+(?=[^\W\d_])")
+CAPITALS = bytes(range(65, 91))
 WORDS_KEPT = 300_000
 ROUNDS, STEPS = 25, 500
 PATTERNS = 9
@@ -96,17 +97,17 @@ class Voters:
         counts: dict[str, int] = {}
         for w, got in zip(own, map(known.get, own), strict=True):
             if got is None:
-                got = known[w] = tuple(s for s in stems(w) if s in self.of)
+                got = known[w] = (*(s for s in stems(w) if s in self.of), *(("",) if STRETCHED.search(w) else ()))
             for s in got:
                 counts[s] = counts.get(s, 0) + 1
         for s, c in counts.items():
-            for level, i in self.of[s]:
+            for level, i in self.of.get(s, ()):  # "" stands for a stretched word
                 out[i] = c >= level
         k = self.size
         hits = int(out[:k].sum())
-        n = len(text)
-        capitals = sum(map(str.isupper, text)) if n < 1 << 16 else sum(len(x) for x in re.findall("[A-Z]+", text))
-        out[k:] = [hits >= 2, hits >= 4, text.count("!") * 50 > n > 0, "!!" in text or "?!" in text, capitals * 4 > n > 0, STRETCHED.search(text) is not None, MASKED.search(text) is not None, len(own & YOU) >= 2, hits == 0]
+        n, raw = len(text), text.encode("utf-8", "replace")
+        capitals = len(raw) - len(raw.translate(None, CAPITALS))
+        out[k:] = [hits >= 2, hits >= 4, text.count("!") * 50 > n > 0, "!!" in text or "?!" in text, capitals * 4 > n > 0, "" in counts, MASKED.search(text) is not None, len(own & YOU) >= 2, hits == 0]
         return out
 
 
