@@ -18,9 +18,9 @@
 Nothing about all documents comes to the driver. Groups of copies collapse before anything is dealt.
 
 Edge cases. A null or empty text has no words and an empty set: it is linked with nothing. Fewer words than a shingle
-has make one shingle, the whole sequence. Rows without an id take no part: their component is null and they are kept.
+has make one shingle, the whole sequence. Texts of any length count whole; one text's set must fit a worker. Rows without an id take no part: their component is null and they are kept.
 Rows that repeat an id stand each for their own text; copies of a row share a component. Ties go to the smaller id. An
-empty table gives no rows. Extra columns are ignored here; `deduplicated` passes them on.
+empty table gives no rows. Extra columns are ignored here, whatever their names; `deduplicated` passes them on.
 """
 
 from __future__ import annotations
