@@ -7,7 +7,7 @@
 4. secrets: secret spans are replaced by a mark, and n_chars follows the text.
 5. tokens: texts are encoded; the text returned is the one that the ids decode to.
 
-Every stage but the last returns the columns of its input. Null texts are empty texts; rows without a doc_id stay in all
+Every stage but the last returns the columns of its input. Null texts are empty texts; texts of any length go through whole; rows without a doc_id stay in all
 stages unless the first or third rejects their text or the second keeps another such row of their group; empty tables give
 empty tables.
 """
