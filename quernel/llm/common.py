@@ -4,12 +4,28 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from quernel.plans.lineage import remove, scratch, shared_dir, stored
 from quernel.sources.tables import table
 
-__all__ = ["as_bytes", "giving_way", "remove", "scratch", "shared_dir", "slices", "stored", "table"]
+__all__ = ["as_bytes", "giving_way", "in_small_batches", "remove", "scratch", "shared_dir", "slices", "stored", "table"]
+
+
+#: Rows of an Arrow batch. Texts are long: with Spark's 10,000 rows a batch takes tens of megabytes on either side.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The frame in a copy of its session that hands texts to Python in batches of BATCH_ROWS, unless the session was set
+    otherwise. The session itself, and all that runs in it, stay as they are."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) != "10000":
+        return df
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set(name, str(BATCH_ROWS))
+    plan = df._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, plan), own)
 
 
 def giving_way(df: DataFrame, names: list[str], *needed: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, giving_way, slices, stored
+from .common import as_bytes, giving_way, in_small_batches, slices, stored
 
 WINDOW, BLOCK = 13, 2
 #: Benchmark text that one pass holds.
@@ -264,7 +264,7 @@ def _pass(df: DataFrame, items: list, text: str, window: int, kept: list[str], w
                 out = pa.RecordBatch.from_arrays(columns, names=schema.names)
                 yield out if whole else out.filter(pa.array([bool(s) for s in spans], pa.bool_()))
 
-    return df.mapInArrow(run, schema)
+    return in_small_batches(df).mapInArrow(run, schema)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES, keep_text: bool = True) -> DataFrame:
@@ -297,4 +297,4 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                 ids = [sorted(x or ()) for x in part.column("item_ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *_arrays(spans, ids), *_digest(n, spans, ids)], names=schema.names)
 
-    return both.mapInArrow(finish, schema)
+    return in_small_batches(both).mapInArrow(finish, schema)

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from quernel.operators.components import components
 
-from .common import as_bytes, slices, stored
+from .common import as_bytes, in_small_batches, slices, stored
 
 #: Bits of a minimum, places of a chunk, and the chance that a link at the very threshold stays outside the distance.
 BITS, CHUNK, MISS = 16, 4, 1e-7
@@ -190,7 +190,7 @@ def classes(df: DataFrame, key: str, text: str, shingle: int, hashes: int) -> Da
                 sigs = [signature(s, hashes).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "mark", "n_shingles", "digest", "sig"])
 
-    return df.select(key, text, _mark(text).alias("_mark")).mapInArrow(run, "id long, mark binary, n_shingles long, digest binary, sig binary")
+    return in_small_batches(df).select(key, text, _mark(text).alias("_mark")).mapInArrow(run, "id long, mark binary, n_shingles long, digest binary, sig binary")
 
 
 def _within(hashes: int):
@@ -311,7 +311,7 @@ def _linked(df: DataFrame, key: str, text: str, shingle: int, num: int, den: int
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "shingles"])
 
     # the sets of family members are made anew from their texts, so that no set of any other document is kept
-    texts = df.select(F.col(key).cast("long").alias(key), text)
+    texts = in_small_batches(df).select(F.col(key).cast("long").alias(key), text)
     wanted = texts.join(family.select(F.col("id").alias(key)).distinct(), key, "left_semi")
     made = wanted.mapInArrow(full, "id long, digest binary, shingles binary").join(family.select("node", "id", "digest"), ["id", "digest"])
     if null_ids:

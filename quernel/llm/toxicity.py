@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import giving_way, slices, stored
+from .common import giving_way, in_small_batches, slices, stored
 from .labelled import LABELLED, held_out, training
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -165,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
 
 def fit_rows(rows: DataFrame) -> Model:
     """Learns from rows of _id, text and y, in bounded number."""
+    rows = in_small_batches(rows)
     chosen = lexicon(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +266,7 @@ def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score"
                 p = 1 / (1 + np.exp(-np.clip(votes @ model.weights + model.bias, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p, pa.float64())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return in_small_batches(df).mapInArrow(run, schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import in_small_batches, scratch, stored
 
 #: Payload bytes of an archive, and of a piece that the inflater takes at a time.
 ARCHIVE_BYTES, PIECE = 8 << 20, 1 << 16
@@ -169,7 +169,7 @@ def monolithic(classed: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFr
         if z is not None:
             yield closed()
 
-    return classed.mapInArrow(run, "name string, content binary")
+    return in_small_batches(classed).mapInArrow(run, "name string, content binary")
 
 
 def store_of(folder: str):
@@ -214,7 +214,7 @@ def write_files(classed: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
                 size += f.write(z.flush())
             yield _listed(name, size, n)
 
-    return classed.mapInArrow(run, FILES)
+    return in_small_batches(classed).mapInArrow(run, FILES)
 
 
 def normalise_files(files: DataFrame, source: str, target: str) -> DataFrame:
