@@ -44,6 +44,8 @@ BITS, CHUNK, MISS = 16, 4, 1e-7
 #: Members of a block of one key; least and most members of a block of a family, and bytes of its sets.
 KEY_BLOCK, LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 1024, 128, 1024, 16 << 20
 WORDS_KEPT = 300_000
+#: Rows of a matrix of links that are worked on at a time.
+ROWS = 256
 #: Members of a family that has a representative, at least.
 REPRESENTED = 64
 
@@ -122,7 +124,8 @@ def _forest(linked: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     label = nodes.copy()
     most = np.iinfo(np.int64).max
     while True:
-        low = np.minimum(label, np.where(linked, label[None, :], most).min(axis=1))
+        near = [np.where(linked[at : at + ROWS], label[None, :], most).min(axis=1) for at in range(0, len(label), ROWS)]
+        low = np.minimum(label, np.concatenate(near))
         if (low == label).all():
             break
         label = low
@@ -225,8 +228,11 @@ def _similar(num: int, den: int):
             part = np.zeros((len(sets), min(width, int(column[b - 1]) - low + 1) if b > a else 1), np.float32)
             part[rows[a:b], column[a:b] - low] = 1
             both += part @ part.T
-        joint = np.rint(both).astype(np.int64)
-        return den * joint >= num * (sizes[:, None] + sizes[None, :] - joint)
+        linked = np.empty(both.shape, bool)
+        for at in range(0, len(sets), ROWS):  # whole numbers of 64 bits for a few rows at a time
+            joint = np.rint(both[at : at + ROWS]).astype(np.int64)
+            linked[at : at + ROWS] = den * joint >= num * (sizes[at : at + ROWS, None] + sizes[None, :] - joint)
+        return linked
 
     return test
 
