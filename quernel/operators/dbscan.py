@@ -13,6 +13,8 @@ stored grows with the points and the cells around each, however dense they lie.
    outermost core points do. Only pairs of cells that are still in different clusters then are compared point by point, and
    a point leaves the comparison at its first neighbour.
 3. Border points lie in cells with fewer than `min_points` points; each looks for a core point in the cells around it.
+4. New points share cells in the same way. What lies within eps of a cell as a whole, and what can lie there at most, settles most
+   cells; points of the others count the members of those clusters that can still change their label.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from quernel.plans.lineage import stored
 from quernel.sources.sinks import debug_dump
 
 from .components import components
-from .epsjoin import GRID, eps_join, eps_pairs
+from .epsjoin import GRID, eps_pairs
 
 #: Ids that aren't clusters.
 NOISE, NEW_CLUSTER, UNDEFINED = 0, -1, -2
@@ -64,15 +66,15 @@ class DbscanModel:
 
     def predict(self, new: DataFrame) -> DataFrame:
         """(id, cluster) of new points: a cluster with min_points - 1 members near; else any cluster near, if borders count;
-        else a new cluster where min_points - 1 noise points are near; else noise. The smallest cluster wins ties."""
-        p, key = self.params, self.key
-        near = eps_join(new, self.labelled, self.features, p.eps, key, p.distance).join(self.labelled.select(F.col(key).alias("b"), "cluster"), "b")
-        counts = near.groupBy("a", "cluster").agg(F.count("*").alias("n"))
-        own = F.col("cluster") != NOISE
-        enough = F.col("n") >= p.min_points - 1
-        found = counts.groupBy("a").agg(F.min(F.when(own & enough, F.col("cluster"))).alias("full"), F.min(F.when(own, F.col("cluster"))).alias("some"), F.max(F.when(~own & enough, 1)).alias("fresh"))
-        label = F.coalesce(F.col("full"), F.lit(None) if p.border_as_noise else F.col("some"), F.when(F.col("fresh") == 1, NEW_CLUSTER), F.lit(NOISE))
-        return new.select(key).join(found, new[key] == found["a"], "left").select(key, label.cast("int").alias("cluster"))
+        else a new cluster where min_points - 1 noise points are near; else noise. The smallest cluster wins ties. A row that
+        lacks a feature is noise, and rows that share an id are points of their own."""
+        p, space = self.params, _Space(len(self.features), self.params.eps, self.params.distance)
+        new = stored(new.select(F.col(self.key).alias("id"), *space.values(self.features)), "predict-new")
+        members = self.labelled.select(self.key, "cluster", *self.features).dropna().select("cluster", *space.values(self.features))
+        members = space.placed(members.groupBy("cluster", *space.x).agg(F.count("*").alias("n")))
+        places = space.placed(new.select(*space.x).dropna().distinct())
+        found = _predicted(places, members, space, max(p.min_points - 1, 1), p.border_as_noise)
+        return new.join(found, space.x, "left").select(F.col("id").alias(self.key), F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("cluster"))
 
 
 class _Space:
@@ -84,6 +86,12 @@ class _Space:
         self.cell, self.reach = grid(distance, eps, d)
         self.axes = self.c[:GRID]
 
+    def values(self, features: list[str]) -> list[Column]:
+        return [F.col(f).cast("double").alias(x) for f, x in zip(features, self.x, strict=True)]
+
+    def placed(self, points: DataFrame) -> DataFrame:
+        return points.select("*", *[self.cell(F.col(x)).alias(c) for x, c in zip(self.x, self.c, strict=True)])
+
     def box(self) -> list[Column]:
         return [f(x).alias(f"{n}{i}") for i, x in enumerate(self.x) for f, n in ((F.min, "l"), (F.max, "h"))]
 
@@ -99,14 +107,16 @@ class _Space:
         """Columns of a cell's place and box."""
         return [*self.c, *[f"{n}{i}" for i in range(self.d) for n in "lh"]]
 
-    def around(self, xs: DataFrame, ys: DataFrame, *more: str) -> DataFrame:
-        """(x, y, whole, and columns of y as `more` names them): for every cell x of xs the other cells y of ys whose box lies
-        within eps of its own; `whole` says whether every point of the one is within eps of every point of the other."""
+    def around(self, xs: DataFrame, ys: DataFrame, *more: str, apart: bool = True) -> DataFrame:
+        """(x, y, whole, and columns of y as `more` names them): for every cell x of xs the cells y of ys whose box lies within
+        eps of its own; `whole` says whether every point of the one is within eps of every point of the other. With `apart` a
+        cell doesn't meet the one of its own name."""
         blocks = [F.floor(F.col(c) / self.reach).alias(f"k{i}") for i, c in enumerate(self.axes)]
         names = [f"k{i}" for i in range(len(blocks))]
         offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, o, strict=True)]) for o in product((-1, 0, 1), repeat=len(names))])
         left = xs.select("*", *blocks).withColumn("_o", F.explode(offsets)).withColumns({n: F.col(n) + F.col(f"_o.{n}") for n in names})
-        met = left.alias("x").join(ys.select("*", *blocks).alias("y"), reduce(lambda p, q: p & q, [F.col(f"x.{n}") == F.col(f"y.{n}") for n in names])).where("x.cell != y.cell")
+        met = left.alias("x").join(ys.select("*", *blocks).alias("y"), reduce(lambda p, q: p & q, [F.col(f"x.{n}") == F.col(f"y.{n}") for n in names]))
+        met = met.where("x.cell != y.cell") if apart else met
         near, far = self.bounds("x", "y")
         return met.where(near <= self.eps).select(F.col("x.cell").alias("x"), F.col("y.cell").alias("y"), (far <= self.eps).alias("whole"), *[F.col(f"y.{m}").alias(m) for m in more])
 
@@ -163,14 +173,53 @@ def _reached(others: DataFrame, core: DataFrame, cells: DataFrame, label: DataFr
     return found.select("id", F.least("own", "sure", "met").alias("label")).where("label is not null")
 
 
+def _predicted(places: DataFrame, members: DataFrame, space: _Space, least: int, border_as_noise: bool) -> DataFrame:
+    """(features, cluster) of places, from members (features, cluster, n: points there): the smallest cluster with `least` points
+    within eps, else the smallest with any unless borders are noise, else NEW_CLUSTER if noise has `least`, else NOISE."""
+    # members of a cell and cluster are a group; cells and groups are stored with their numbers, so that those hold
+    numbered = lambda df, name: stored(df.withColumn("cell", F.monotonically_increasing_id()), name)
+    cells = numbered(places.groupBy(*space.c).agg(*space.box()), "predict-cells")
+    members = stored(members, "predict-members")
+    groups = numbered(members.groupBy(*space.c, "cluster").agg(F.sum("n").alias("n"), *space.box()), "predict-groups")
+    near = stored(space.around(cells, groups, "cluster", "n", apart=False), "predict-around")
+    sums = near.groupBy("x", "cluster").agg(F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("sure"), F.sum(F.when(F.col("whole"), 0).otherwise(F.col("n"))).alias("maybe"))
+    sums = stored(sums, "predict-sums")
+    own, cluster = F.col("cluster") != NOISE, F.col("cluster")
+    borders = F.lit(not border_as_noise)
+
+    def outcome(total: Column) -> list[Column]:
+        enough = total >= least
+        return [F.min(F.when(own & enough, cluster)).alias("full"), F.min(F.when(own & borders & (total > 0), cluster)).alias("some"), F.max(F.when(~own & enough, NEW_CLUSTER)).alias("fresh")]
+
+    known = stored(sums.groupBy("x").agg(*outcome(F.col("sure"))), "predict-known")
+    # clusters whose points one by one can still change the label of a point of the cell
+    most = F.col("sure") + F.col("maybe")
+    counts = (F.col("sure") < least) & (most >= least)
+    full = own & counts & (F.col("full").isNull() | (cluster < F.col("full")))
+    some = own & borders & F.col("full").isNull() & (F.col("sure") == 0) & (F.col("some").isNull() | (cluster < F.col("some")))
+    fresh = ~own & counts & F.col("full").isNull() & F.col("some").isNull() & F.col("fresh").isNull()
+    open_sums = sums.where("maybe > 0").join(known, "x").where(full | some | fresh).select("x", "cluster", "sure")
+    places = stored(places.join(cells.select(*space.c, F.col("cell").alias("x")), space.c).select("x", *space.x).withColumn("id", F.monotonically_increasing_id()), "predict-places")
+    boxes = groups.select(F.col("cell").alias("y"), *[f"{n}{i}" for i in range(space.d) for n in "lh"])
+    low, high = box_bounds(space.distance, [(F.col(x), F.col(x)) for x in space.x], [(F.col(f"l{i}"), F.col(f"h{i}")) for i in range(space.d)])
+    asks = near.where("not whole").join(open_sums, ["x", "cluster"]).join(boxes, "y").join(places, "x").where(low <= space.eps)
+    asks = stored(asks.select("id", "cluster", "sure", "y", "n", (high <= space.eps).alias("whole"), *space.x), "predict-asks")
+    held = members.join(groups.select(*space.c, "cluster", "cell"), [*space.c, "cluster"]).select("cell", "n", *space.x)
+    met = asks.where("not whole").alias("a").join(held.alias("b"), (F.col("a.y") == F.col("b.cell")) & (space.away("a", "b") <= space.eps))
+    counted = met.select("a.id", "a.cluster", "b.n", "a.sure").unionByName(asks.where("whole").select("id", "cluster", "n", "sure"))
+    totals = counted.groupBy("id", "cluster").agg((F.sum("n") + F.first("sure")).alias("total")).groupBy("id").agg(*outcome(F.col("total")))
+    both = places.join(known, "x", "left").join(totals.select("id", *[F.col(c).alias(f"{c}_too") for c in ("full", "some", "fresh")]), "id", "left")
+    label = F.coalesce(*[F.least(c, f"{c}_too") for c in ("full", "some", "fresh")], F.lit(NOISE))
+    return both.select(*space.x, label.alias("cluster"))
+
+
 def fit(points: DataFrame, features: list[str], params: DbscanParams, key: str = "id", debug_path: str | None = None) -> DbscanModel:
     """Labels every point. With `debug_path`, pairs (made for this only), core points, and labels before numbering are written below it."""
     points = stored(points.select(key, *features).dropna(), "dbscan-points")
     if debug_path:
         debug_dump(eps_pairs(points, features, params.eps, key, params.distance), debug_path, "pairs")
     space = _Space(len(features), params.eps, params.distance)
-    placed = points.select(F.col(key).alias("id"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, space.x, strict=True)])
-    placed = placed.select("*", *[space.cell(F.col(x)).alias(c) for x, c in zip(space.x, space.c, strict=True)])
+    placed = space.placed(points.select(F.col(key).alias("id"), *space.values(features)))
     cells = stored(placed.groupBy(*space.c).agg(F.min("id").alias("cell"), F.count("*").alias("n"), *space.box()), "dbscan-cells-all")
     placed = placed.join(cells.select(*space.c, "cell"), space.c).select("id", "cell", *space.x)
     placed = _core(placed, cells, space, params.min_points)

@@ -635,8 +635,8 @@ def dbscan_noise_count(spark, d):
 @query
 def dbscan_predict(spark, d):
     """The cluster of every customer moved by SHIFT along each feature."""
-    moved = points(spark, d).withColumns({f: F.col(f) + SHIFT for f in RFM})
-    return _dbscan(spark, d).predict(moved)
+    at = stored(points(spark, d), "points")
+    return dbscan.fit(at, RFM, dbscan.DbscanParams(EPS, MIN_POINTS)).predict(at.withColumns({f: F.col(f) + SHIFT for f in RFM}))
 
 
 @query

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -193,6 +194,68 @@ def test_predict_outcomes(spark):
     assert {r.id: r.cluster for r in model.predict(new).collect()} == {0: 1, 1: 1, 2: -1, 3: 0}
 
 
+def brute_predict(rows, labels, new, eps, least, border_as_noise=False, how=math.dist):
+    out = {}
+    for i, a in enumerate(new):
+        near = Counter(labels[j] for j, b in enumerate(rows) if how(a, b) <= eps)
+        full = [c for c, n in near.items() if c and n >= least - 1]
+        some = [c for c in near if c and not border_as_noise]
+        out[i] = min(full or some or [-1 if near[0] >= max(least - 1, 1) else 0])
+    return out
+
+
+@pytest.mark.parametrize(("name", "eps", "least", "border"), [("euclidean", 0.5, 4, False), ("euclidean", 0.5, 4, True), ("euclidean", 0.35, 1, False), ("manhattan", 0.7, 9, False), ("chebyshev", 0.5, 6, False), ("canberra", 0.3, 8, True)])
+def test_predict_is_brute_force(spark, name, eps, least, border):
+    """Blobs whose edges meet, copies, noise, and new points between and far from all of them."""
+    how = {
+        "euclidean": math.dist, "manhattan": lambda a, b: sum(map(abs, np.subtract(a, b))), "chebyshev": lambda a, b: max(map(abs, np.subtract(a, b))),
+        "canberra": lambda a, b: sum(abs(x - y) / (abs(x) + abs(y)) if x or y else 0 for x, y in zip(a, b, strict=True)),
+    }[name]
+    r = random.Random(11)
+    rows = [(r.gauss(c, 0.4), r.gauss(c, 0.4)) for c in (0, 2, 4) for _ in range(40)] + [(r.uniform(-4, 8), r.uniform(-4, 8)) for _ in range(60)]
+    rows += rows[100:130]
+    new = [(r.uniform(-4, 8), r.uniform(-4, 8)) for _ in range(300)] + [(x + 0.15, y + 0.15) for x, y in rows] + [(0.0, 0.0), (1e6, -1e6)]
+    model = dbscan.fit(points(spark, rows), ["x", "y"], dbscan.DbscanParams(eps, least, name, border))
+    labels = {x.id: x.cluster for x in model.labelled.collect()}
+    got = {x.id: x.cluster for x in model.predict(points(spark, new)).collect()}
+    assert got == brute_predict(rows, labels, new, eps, least, border, how) and 0 in got.values() and max(got.values()) > 0
+
+
+def rows_moved(spark):
+    """Rows written by all stages so far, to shuffles and files."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    found = [stages.apply(i) for i in range(stages.size())]
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() + s.outputRecords() for s in found}
+
+
+def test_predict_moves_no_pairs(spark):
+    """2,000 points in two dense clumps, and as many new ones beside: what moves between tasks grows with the points, not with the pairs."""
+    spark = spark.newSession()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    r = random.Random(12)
+    rows = [(c + r.uniform(0, 0.6), r.uniform(0, 0.6)) for c in (0, 3) for _ in range(1000)]
+    new = [(x + 0.5, y) for x, y in rows]
+    model = dbscan.fit(points(spark, rows), ["x", "y"], dbscan.DbscanParams(1.0, 5))
+    labels = {x.id: x.cluster for x in model.labelled.collect()}
+    before = rows_moved(spark)
+    got = {x.id: x.cluster for x in model.predict(points(spark, new)).collect()}
+    moved = sum(n for k, n in rows_moved(spark).items() if k not in before)
+    assert got == brute_predict(rows, labels, new, 1.0, 5) and set(got.values()) == {1, 2}
+    assert moved < 60 * len(rows), moved
+
+
+def test_predict_keeps_every_row(spark):
+    """Rows that share an id are points of their own, and rows that lack a feature are noise."""
+    model = dbscan.fit(points(spark, [(0, 0), (0, 0.1), (0.1, 0), (9, 9), (9, 9.1), (9.1, 9)]), ["x", "y"], dbscan.DbscanParams(0.6, 3))
+    new = spark.createDataFrame([(7, 0.0, 0.0), (7, 9.0, 9.0), (7, 9.0, 9.0), (8, None, 0.0), (9, float("nan"), 0.0), (10, -0.0, 0.0)], "id long, x double, y double")
+    assert sorted((r.id, r.cluster) for r in model.predict(new).collect()) == [(7, 1), (7, 2), (7, 2), (8, 0), (9, 0), (10, 1)]
+    assert model.predict(new.limit(0)).count() == 0
+    nothing = dbscan.fit(points(spark, []), ["x", "y"], dbscan.DbscanParams(0.6, 3))
+    assert {r.cluster for r in nothing.predict(new).collect()} == {0}
+
+
 def test_kmeans_recovers_blobs(spark):
     r = random.Random(1)
     rows = [(c[0] + r.uniform(-1, 1), c[1] + r.uniform(-1, 1)) for c in ((0, 0), (20, 0), (0, 20), (20, 20)) for _ in range(50)]
