@@ -14,7 +14,8 @@ stored grows with the points and the cells around each, however dense they lie.
    a point leaves the comparison at its first neighbour.
 3. Border points lie in cells with fewer than `min_points` points; each looks for a core point in the cells around it.
 4. New points share cells in the same way. What lies within eps of a cell as a whole, and what can lie there at most, settles most
-   cells; points of the others count the members of those clusters that can still change their label.
+   cells; points of the others count the members of those clusters that can still change their label, by boxes of members that are
+   halved until few pairs are left to compare.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from .epsjoin import GRID, eps_pairs
 
 #: Ids that aren't clusters.
 NOISE, NEW_CLUSTER, UNDEFINED = 0, -1, -2
+#: For a prediction: pairs compared one by one for each place, in the mean; while there are more, groups are halved, so often at most.
+COMPARED, SPLITS = 16, 16
 
 
 @dataclass(frozen=True)
@@ -178,39 +181,59 @@ def _predicted(places: DataFrame, members: DataFrame, space: _Space, least: int,
     within eps, else the smallest with any unless borders are noise, else NEW_CLUSTER if noise has `least`, else NOISE."""
     # members of a cell and cluster are a group; cells and groups are stored with their numbers, so that those hold
     numbered = lambda df, name: stored(df.withColumn("cell", F.monotonically_increasing_id()), name)
+    held_by = [F.sum("n").alias("n"), F.count("*").alias("m"), *space.box()]
+    sides = [f"{n}{i}" for i in range(space.d) for n in "lh"]
     cells = numbered(places.groupBy(*space.c).agg(*space.box()), "predict-cells")
     members = stored(members, "predict-members")
-    groups = numbered(members.groupBy(*space.c, "cluster").agg(F.sum("n").alias("n"), *space.box()), "predict-groups")
-    near = stored(space.around(cells, groups, "cluster", "n", apart=False), "predict-around")
-    sums = near.groupBy("x", "cluster").agg(F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("sure"), F.sum(F.when(F.col("whole"), 0).otherwise(F.col("n"))).alias("maybe"))
-    sums = stored(sums, "predict-sums")
-    own, cluster = F.col("cluster") != NOISE, F.col("cluster")
-    borders = F.lit(not border_as_noise)
-
-    def outcome(total: Column) -> list[Column]:
-        enough = total >= least
-        return [F.min(F.when(own & enough, cluster)).alias("full"), F.min(F.when(own & borders & (total > 0), cluster)).alias("some"), F.max(F.when(~own & enough, NEW_CLUSTER)).alias("fresh")]
-
-    known = stored(sums.groupBy("x").agg(*outcome(F.col("sure"))), "predict-known")
-    # clusters whose points one by one can still change the label of a point of the cell
-    most = F.col("sure") + F.col("maybe")
-    counts = (F.col("sure") < least) & (most >= least)
-    full = own & counts & (F.col("full").isNull() | (cluster < F.col("full")))
-    some = own & borders & F.col("full").isNull() & (F.col("sure") == 0) & (F.col("some").isNull() | (cluster < F.col("some")))
-    fresh = ~own & counts & F.col("full").isNull() & F.col("some").isNull() & F.col("fresh").isNull()
-    open_sums = sums.where("maybe > 0").join(known, "x").where(full | some | fresh).select("x", "cluster", "sure")
-    places = stored(places.join(cells.select(*space.c, F.col("cell").alias("x")), space.c).select("x", *space.x).withColumn("id", F.monotonically_increasing_id()), "predict-places")
-    boxes = groups.select(F.col("cell").alias("y"), *[f"{n}{i}" for i in range(space.d) for n in "lh"])
+    groups = numbered(members.groupBy(*space.c, "cluster").agg(*held_by), "predict-groups")
+    near = stored(space.around(cells, groups, "cluster", "n", "m", apart=False), "predict-around")
+    own, cluster, sure, most = F.col("cluster") != NOISE, F.col("cluster"), F.col("sure"), F.col("sure") + F.col("maybe")
+    whole, other = F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("whole"), 0).otherwise(F.col("n"))).alias("maybe")
+    borders, kinds = F.lit(not border_as_noise), ["full", "some", "fresh"]
+
+    def outcome(sums: DataFrame, by: str) -> DataFrame:
+        enough = sure >= least
+        return sums.groupBy(by).agg(F.min(F.when(own & enough, cluster)).alias("full"), F.min(F.when(own & borders & (sure > 0), cluster)).alias("some"), F.max(F.when(~own & enough, NEW_CLUSTER)).alias("fresh"))
+
+    def settled(known: DataFrame, sums: DataFrame) -> DataFrame:
+        found = outcome(sums, "id").withColumnsRenamed({k: f"{k}_too" for k in kinds})
+        return stored(known.join(found, "id", "left").select("id", *[F.least(k, f"{k}_too").alias(k) for k in kinds]), "predict-known")
+
+    def changing(sums: DataFrame, known: DataFrame, by: str) -> DataFrame:
+        """The sums whose open part can still change the label."""
+        counts = (sure < least) & (most >= least)
+        full = own & counts & (F.col("full").isNull() | (cluster < F.col("full")))
+        some = own & borders & F.col("full").isNull() & (sure == 0) & (F.col("some").isNull() | (cluster < F.col("some")))
+        fresh = ~own & counts & F.coalesce(*kinds).isNull()
+        return sums.where("maybe > 0").join(known, by).where(full | some | fresh).select(by, "cluster", "sure")
+
     low, high = box_bounds(space.distance, [(F.col(x), F.col(x)) for x in space.x], [(F.col(f"l{i}"), F.col(f"h{i}")) for i in range(space.d)])
-    asks = near.where("not whole").join(open_sums, ["x", "cluster"]).join(boxes, "y").join(places, "x").where(low <= space.eps)
-    asks = stored(asks.select("id", "cluster", "sure", "y", "n", (high <= space.eps).alias("whole"), *space.x), "predict-asks")
-    held = members.join(groups.select(*space.c, "cluster", "cell"), [*space.c, "cluster"]).select("cell", "n", *space.x)
-    met = asks.where("not whole").alias("a").join(held.alias("b"), (F.col("a.y") == F.col("b.cell")) & (space.away("a", "b") <= space.eps))
-    counted = met.select("a.id", "a.cluster", "b.n", "a.sure").unionByName(asks.where("whole").select("id", "cluster", "n", "sure"))
-    totals = counted.groupBy("id", "cluster").agg((F.sum("n") + F.first("sure")).alias("total")).groupBy("id").agg(*outcome(F.col("total")))
-    both = places.join(known, "x", "left").join(totals.select("id", *[F.col(c).alias(f"{c}_too") for c in ("full", "some", "fresh")]), "id", "left")
-    label = F.coalesce(*[F.least(c, f"{c}_too") for c in ("full", "some", "fresh")], F.lit(NOISE))
-    return both.select(*space.x, label.alias("cluster"))
+    asked = lambda df, name: stored(df.where(low <= space.eps).select("id", "cluster", "sure", "y", "n", "m", (high <= space.eps).alias("whole"), *space.x), name)
+    sums = stored(near.groupBy("x", "cluster").agg(whole.alias("sure"), other), "predict-sums")
+    known = stored(outcome(sums, "x"), "predict-known")
+    places = stored(places.join(cells.select(*space.c, F.col("cell").alias("x")), space.c).select("x", *space.x).withColumn("id", F.monotonically_increasing_id()), "predict-places")
+    boxes = groups.select(F.col("cell").alias("y"), *sides)
+    asks = asked(near.where("not whole").drop("whole").join(changing(sums, known, "x"), ["x", "cluster"]).join(boxes, "y").join(places, "x"), "predict-asks")
+    held = members.join(groups.select(*space.c, "cluster", F.col("cell").alias("y")), [*space.c, "cluster"]).select("y", "n", *space.x)
+    known = places.join(known, "x", "left").select("id", *kinds)
+    few = COMPARED * (places.count() + members.count())
+    for split in range(SPLITS + 1):
+        sums = stored(asks.groupBy("id", "cluster").agg((F.first("sure") + whole).alias("sure"), other), "predict-sums")
+        known = settled(known, sums)
+        asks = stored(asks.where("not whole").select("id", "cluster", "y", "m", *space.x).join(changing(sums, known, "id"), ["id", "cluster"]), "predict-open")
+        if split == SPLITS or (asks.agg(F.sum("m")).first()[0] or 0) <= few:
+            break
+        # every group that is still asked is halved on each axis
+        halves = [(F.col(x) > (F.col(f"l{i}") + F.col(f"h{i}")) / 2).alias(f"b{i}") for i, x in enumerate(space.x)]
+        part = ["y", *[f"b{i}" for i in range(space.d)]]
+        held = stored(held.join(asks.select("y").distinct(), "y", "left_semi").join(boxes, "y").select("y", "n", *space.x, *halves), "predict-halves")
+        parts = numbered(held.groupBy(*part).agg(*held_by), "predict-parts")
+        held = held.join(parts.select(*part, "cell"), part).select(F.col("cell").alias("y"), "n", *space.x)
+        asks = asked(asks.drop("m").join(parts, "y").drop("y").withColumnRenamed("cell", "y"), "predict-asks")
+        boxes = parts.select(F.col("cell").alias("y"), *sides)
+    met = asks.alias("a").join(held.alias("b"), (F.col("a.y") == F.col("b.y")) & (space.away("a", "b") <= space.eps))
+    known = settled(known, met.groupBy("a.id", "a.cluster").agg((F.sum("b.n") + F.first("a.sure")).alias("sure")))
+    return places.join(known, "id").select(*space.x, F.coalesce(*kinds, F.lit(NOISE)).alias("cluster"))
 
 
 def fit(points: DataFrame, features: list[str], params: DbscanParams, key: str = "id", debug_path: str | None = None) -> DbscanModel:

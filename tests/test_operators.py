@@ -221,6 +221,20 @@ def test_predict_is_brute_force(spark, name, eps, least, border):
     assert got == brute_predict(rows, labels, new, eps, least, border, how) and 0 in got.values() and max(got.values()) > 0
 
 
+@pytest.mark.parametrize("splits", [2, 40])
+def test_predict_by_halves_is_brute_force(spark, splits, monkeypatch):
+    """Groups are halved twice and then compared, or until a box is a place; copies can't be halved."""
+    monkeypatch.setattr(dbscan, "COMPARED", 0)
+    monkeypatch.setattr(dbscan, "SPLITS", splits)
+    r = random.Random(13)
+    rows = [(c + r.uniform(0, 1), r.uniform(0, 1)) for c in (0, 2) for _ in range(150)] + [(r.uniform(-2, 5), r.uniform(-2, 3)) for _ in range(20)]
+    rows += rows[:30]
+    new = [(r.uniform(-1, 4), r.uniform(-1, 2)) for _ in range(400)]
+    model = dbscan.fit(points(spark, rows), ["x", "y"], dbscan.DbscanParams(0.4, 6))
+    labels = {x.id: x.cluster for x in model.labelled.collect()}
+    assert {x.id: x.cluster for x in model.predict(points(spark, new)).collect()} == brute_predict(rows, labels, new, 0.4, 6)
+
+
 def rows_moved(spark):
     """Rows written by all stages so far, to shuffles and files."""
     sc = spark.sparkContext
